@@ -1,4 +1,7 @@
 """Loads every module that registers queries."""
 
-from signalfold.plans import performance_queries  # noqa: F401
+from signalfold.plans import (  # noqa: F401
+    performance_queries,
+    search_queries,
+)
 from signalfold.plans.registry import ORACLES, QUERIES  # noqa: F401
