@@ -1,6 +1,8 @@
 """Loads every module that registers queries."""
 
 from signalfold.plans import (  # noqa: F401
+    issue_queries,
+    metric_queries,
     performance_queries,
     search_queries,
 )

@@ -126,7 +126,8 @@ def test_scrub_text(spark):
         ("Authorization: Bearer abc.def-1==", "Authorization: [redacted]"),
         ("card 4111 1111 1111 1111", "card [redacted]"),
         ("card 4111-1111-1111-1111.", "card [redacted]."),
-        ("4111111111111111 and 41111111111111110000", "[redacted] and 41111111111111110000"),
+        ("4111111111111111, 41111111111111110000", "[redacted], 41111111111111110000"),
+        ("4111 1111 1111 1111 now", "[redacted]now"),
         ("order 1234567890123456789 not found", "order 1234567890123456789 not found"),
         ("timestamp 1752480000000 is in the future", "timestamp 1752480000000 is in the future"),
         ("user 8412 not found", "user 8412 not found"),
