@@ -74,7 +74,23 @@ SELECT 1 + user_id % 3 AS project_id, CASE user_id % 3 WHEN 0 THEN 'TypeError' W
 FROM @events@ WHERE event_type = 'signup'
 """
 
+RULES = """
+SELECT CAST(n_nationkey AS BIGINT) AS rule_id, CAST(1 + n_nationkey % 3 AS BIGINT) AS project_id, n_name AS name,
+  CASE n_nationkey % 4 WHEN 0 THEN 'new_issue' WHEN 1 THEN 'regression' WHEN 2 THEN 'frequency' ELSE 'metric' END AS kind,
+  CASE n_nationkey % 5 WHEN 0 THEN 'Production' WHEN 1 THEN 'staging' ELSE '' END AS c_environment,
+  CASE n_nationkey % 3 WHEN 0 THEN 'ERROR' ELSE '' END AS c_level,
+  CASE n_nationkey % 7 WHEN 3 THEN 'web@1.1' ELSE '' END AS c_release,
+  CAST(n_nationkey % 6 AS BIGINT) AS c_threshold, n_nationkey % 8 * 1440 AS c_window,
+  CASE n_nationkey % 3 WHEN 0 THEN 'web.lcp' WHEN 1 THEN 'web.inp' ELSE 'web.fcp' END AS c_metric,
+  CASE n_nationkey % 5 WHEN 0 THEN 'sum' WHEN 1 THEN 'avg' WHEN 2 THEN 'max' WHEN 3 THEN 'count' ELSE 'min' END AS c_agg,
+  CASE n_nationkey % 2 WHEN 0 THEN 'lt' ELSE 'gte' END AS c_operator,
+  CAST(n_nationkey * 2 AS DOUBLE) AS c_value,
+  3600 * (1 + n_nationkey % 6) AS throttle_seconds, n_nationkey % 3 AS n_channels, n_nationkey % 11 <> 5 AS enabled
+FROM @nation@
+"""
+
 VIEWS = {
+    "fx_rules": RULES,
     "fx_errors": ERRORS,
     "fx_logs": LOGS,
     "fx_spans": SPANS,
@@ -92,8 +108,9 @@ def for_duckdb(sql: str) -> str:
     if used:
         ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in used)
         if body.upper().startswith("WITH "):
-            body = body[5:]
-            sql = f"WITH {ctes},\n{body}"
+            # RECURSIVE is harmless where nothing recurs.
+            body = re.sub(r"(?i)^WITH (RECURSIVE )?", "", body)
+            sql = f"WITH RECURSIVE {ctes},\n{body}"
         else:
             sql = f"WITH {ctes}\n{body}"
     return re.sub(r"@(\w+)@", r"\1", sql)
@@ -134,3 +151,29 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_issue_actions").withColumn("group_hash", F.expr(GROUP_TEXT))
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert rules with their conditions and channels as the JSON text a rule is saved with."""
+    df = view(spark, sf_dir, "fx_rules")
+    names = {
+        "environment": "c_environment",
+        "level": "c_level",
+        "release": "c_release",
+        "threshold": "c_threshold",
+        "window_minutes": "c_window",
+        "metric_name": "c_metric",
+        "agg": "c_agg",
+        "operator": "c_operator",
+        "value": "c_value",
+    }
+    conditions = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in names.items()]))
+    channel = F.struct(
+        F.lit("webhook").alias("type"),
+        F.create_map(F.lit("url"), F.concat(F.lit("https://hooks.example.com/"), "rule_id")).alias("settings"),
+    )
+    channels = F.to_json(F.array_repeat(channel, F.col("n_channels")))
+    return df.select(
+        "rule_id", "project_id", "name", "kind", "throttle_seconds", "enabled",
+        conditions.alias("conditions"), channels.alias("channels"),
+    )

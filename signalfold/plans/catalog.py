@@ -1,6 +1,7 @@
 """Loads every module that registers queries."""
 
 from signalfold.plans import (  # noqa: F401
+    alert_queries,
     issue_queries,
     metric_queries,
     performance_queries,
