@@ -6,5 +6,6 @@ from signalfold.plans import (  # noqa: F401
     metric_queries,
     performance_queries,
     search_queries,
+    text_queries,
 )
 from signalfold.plans.registry import ORACLES, QUERIES  # noqa: F401
