@@ -26,11 +26,16 @@ def read_payload(jobs: DataFrame, kind: str, ddl: str) -> tuple[DataFrame, DataF
     """(decoded rows of one kind with the payload in `p`, rows whose payload is not readable)."""
     schema = schemas.struct(f"{ddl}, {CORRUPT} string")
     options = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
-    rows = jobs.filter(F.col("type") == kind).withColumn(
-        "p", F.from_json("payload", schema, options)
-    )
-    bad = F.col("p").isNull() | F.col(f"p.{CORRUPT}").isNotNull()
-    return rows.filter(~bad), rows.filter(bad).drop("p")
+    rows = jobs.filter(F.col("type") == kind)
+    parsed = F.array(F.from_json("payload", schema, options))
+
+    def is_bad(p: Column) -> Column:
+        return p.isNull() | p[CORRUPT].isNotNull()
+
+    # As in the job decoder: a generator keeps the parse from being repeated.
+    good = F.explode(F.filter(parsed, lambda p: ~is_bad(p)))
+    bad = F.explode(F.filter(F.transform(parsed, is_bad), lambda b: b))
+    return rows.select("*", good.alias("p")), rows.select("*", bad.alias("_bad")).drop("_bad")
 
 
 def _meta(time_field: str) -> dict[str, Column]:

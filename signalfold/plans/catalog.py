@@ -6,6 +6,7 @@ from signalfold.plans import (  # noqa: F401
     metric_queries,
     performance_queries,
     search_queries,
+    signal_queries,
     text_queries,
 )
 from signalfold.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold import schemas
@@ -21,24 +21,28 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 500) -
     return reader.text(path)
 
 
-def _decoded(lines: DataFrame, column: str) -> DataFrame:
+def _reason(job: Column) -> Column:
+    """Why a decoded line is no job; NULL for a good one."""
+    return (
+        F.when(job.isNull() | job[CORRUPT].isNotNull(), "not readable")
+        .when(F.coalesce(job["project_id"], F.lit(0)) == 0, "no project")
+        .when(~F.coalesce(job["type"].isin(*schemas.KINDS), F.lit(False)), "unknown type")
+        .when(parse_time(job["received_at"]).isNull(), "no receive time")
+    )
+
+
+def _job(column: str) -> Column:
     schema = schemas.struct(f"{schemas.JOB}, {CORRUPT} string")
     options = {"columnNameOfCorruptRecord": CORRUPT, "mode": "PERMISSIVE"}
-    job = F.from_json(F.col(column).cast("string"), schema, options)
-    rows = lines.withColumn("_job", job)
-    received = parse_time(F.col("_job.received_at"))
-    reason = (
-        F.when(F.col("_job").isNull() | F.col(f"_job.{CORRUPT}").isNotNull(), "not readable")
-        .when(F.coalesce("_job.project_id", F.lit(0)) == 0, "no project")
-        .when(~F.coalesce(F.col("_job.type").isin(*schemas.KINDS), F.lit(False)), "unknown type")
-        .when(received.isNull(), "no receive time")
-    )
-    return rows.withColumn("_reason", reason)
+    return F.from_json(F.col(column).cast("string"), schema, options)
 
 
 def decode_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
     """Valid jobs, payload still JSON text."""
-    rows = _decoded(lines, column).filter(F.col("_reason").isNull())
+    # The test sits inside the generator: as a filter it would be moved below the
+    # projection, and every line would be parsed once per mention.
+    good = F.filter(F.array(_job(column)), lambda j: _reason(j).isNull())
+    rows = lines.select(F.explode(good).alias("_job"))
     return rows.select(
         "_job.project_id",
         "_job.type",
@@ -52,8 +56,8 @@ def decode_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def rejected_jobs(lines: DataFrame, column: str = "value") -> DataFrame:
     """Lines that are no job, with the reason, for the dead-letter table."""
-    rows = _decoded(lines, column).filter(F.col("_reason").isNotNull())
-    return rows.select(F.col(column).cast("string").alias("line"), F.col("_reason").alias("reason"))
+    reason = F.filter(F.transform(F.array(_job(column)), _reason), lambda r: r.isNotNull())
+    return lines.select(F.col(column).cast("string").alias("line"), F.explode(reason).alias("reason"))
 
 
 def decode_alert_signals(lines: DataFrame, column: str = "value") -> DataFrame:

@@ -144,10 +144,10 @@ def compact(spark: SparkSession, path: str, name: str, month: date, collapse) ->
 def write_by_trace(spans: DataFrame, path: str) -> None:
     """Second copy of the spans, ordered by trace, for reading whole traces.
 
-    Day partitions bound the scan; the sort gives narrow trace ranges per row group, and the
-    bloom filter answers for the files that cannot hold a trace.
+    Range partitioning gives every file of a day its own stretch of traces, the sort gives
+    narrow row groups, and the bloom filter rules out the rest.
     """
     rows = spans.withColumn("day", F.to_date("timestamp"))
-    rows = rows.hint("rebalance", F.col("day"), F.col("trace_id"))
+    rows = rows.repartitionByRange("day", "project_id", "trace_id")
     rows = rows.sortWithinPartitions("day", "project_id", "trace_id", "timestamp")
     _writer(rows, "day").mode("append").parquet(path)
