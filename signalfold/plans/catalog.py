@@ -7,6 +7,7 @@ from signalfold.plans import (  # noqa: F401
     performance_queries,
     search_queries,
     signal_queries,
+    streaming_queries,
     text_queries,
 )
 from signalfold.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -60,6 +60,7 @@ def _writer(df: DataFrame, partition: str):
     for column in BLOOM_COLUMNS:
         if column in df.columns:
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     return writer
 
 
