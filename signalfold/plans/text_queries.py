@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from signalfold import schemas
 from signalfold.functions import enrich, grouping, normalize, scrub
 from signalfold.functions.stack import parse_stack
 from signalfold.operators.symbolicate import (
+    decode_segments,
     floor_segments,
     match_artifacts,
     normal_url,
     path_parts,
     source_context,
+    symbolicate,
 )
 from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
@@ -312,6 +317,50 @@ def _(spark, d):
     )
 
 
+@register(
+    "g2_custom_components",
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN level || '|' || release END AS components FROM fx_errors",
+)
+def _(spark, d):
+    return _error_events(spark, d).select(
+        "event_id", F.array_join(grouping.custom_components(F.col("f")), "|").alias("components")
+    )
+
+
+@register(
+    "g3_stack_components",
+    """SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'type:' || exception_type || '|frame:' || module || ':' || func END AS components
+FROM fx_errors""",
+)
+def _(spark, d):
+    return _error_events(spark, d).select(
+        "event_id", F.array_join(grouping.stack_components(F.col("e")), "|").alias("components")
+    )
+
+
+@register(
+    "g4_message_components",
+    f"SELECT doc_id, 'message:' || {sql_parameterize('text')} AS component FROM documents WHERE {sql_trim('text')} <> ''",
+)
+def _(spark, d):
+    none = F.lit(None).cast(schemas.EXCEPTIONS)
+    component = grouping.message_components(F.col("text"), none)[0]
+    rows = table(spark, d, "documents").select("doc_id", component.alias("component"))
+    return rows.filter(F.col("component").isNotNull())
+
+
+@register(
+    "g5_fallback_components",
+    f"""SELECT event_id, CASE event_id % 2 WHEN 0 THEN 'empty' ELSE 'type:' || exception_type || '|value:' || {sql_parameterize('exception_value')} END AS components
+FROM fx_errors""",
+)
+def _(spark, d):
+    exc = F.when(F.col("event_id") % 2 == 1, F.col("e"))
+    return _error_events(spark, d).select(
+        "event_id", F.array_join(grouping.fallback_components(exc), "|").alias("components")
+    )
+
+
 @register(
     "g8_group_sizes",
     f"""SELECT method, count(*) AS groups, CAST(sum(n) AS BIGINT) AS events FROM (
@@ -431,6 +480,110 @@ def _(spark, d):
     return floor_segments(asks, segments).select("artifact_key", "gen_line", "gen_col", "line", "col")
 
 
+# --- source maps made from the order lines: one map per supplier --------------------------------------
+
+_B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def _digits(number: int) -> str:
+    rest, out = (-number << 1 | 1) if number < 0 else number << 1, ""
+    while True:
+        digit, rest = rest & 31, rest >> 5
+        out += _B64[digit | (32 if rest else 0)]
+        if not rest:
+            return out
+
+
+def _write_map(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Encode (gen_line, gen_col) -> (line, col) of one supplier; every tenth map is cut short."""
+    key = pdf["artifact_key"].iloc[0]
+    old_line = old_col = 0
+    rows = []
+    for _, part in sorted(pdf.groupby("gen_line")):
+        old_gen, fields = 0, []
+        for r in part.sort_values("gen_col").itertuples():
+            deltas = (r.gen_col - old_gen, 0, r.line - 1 - old_line, r.col - old_col)
+            fields.append("".join(map(_digits, deltas)))
+            old_gen, old_line, old_col = r.gen_col, r.line - 1, r.col
+        rows.append(",".join(fields))
+    text = "\n".join(f"line {i} of {key}" for i in range(1, 1001))
+    source = {"version": 3, "sources": [f"src/s{key}.ts"], "names": [], "sourcesContent": [text], "mappings": ";".join(rows)}
+    content = json.dumps(source).encode()
+    return pd.DataFrame({"artifact_key": [key], "content": [content[:-9] if int(key) % 10 == 9 else content]})
+
+
+def _maps(spark, d):
+    points = (
+        table(spark, d, "lineitem")
+        .select(
+            F.col("l_suppkey").cast("string").alias("artifact_key"),
+            F.col("l_linenumber").cast("int").alias("gen_line"),
+            F.col("l_partkey").cast("int").alias("gen_col"),
+            (F.lit(1) + F.col("l_partkey") % 1000).cast("int").alias("line"),
+            (F.col("l_partkey") % 77).cast("int").alias("col"),
+        )
+        .distinct()
+    )
+    return points.groupBy("artifact_key").applyInPandas(_write_map, "artifact_key string, content binary")
+
+
+# Maps start with line 1 only where the supplier has an order line numbered 1, as all of them do.
+MAP_ROWS = """seg AS (SELECT DISTINCT l_suppkey AS s, l_linenumber AS gen_line, l_partkey AS gen_col, 1 + l_partkey % 1000 AS line, l_partkey % 77 AS col
+  FROM lineitem WHERE l_suppkey % 10 <> 9)"""
+
+
+@register(
+    "y2_decode_source_maps",
+    f"""WITH {MAP_ROWS} SELECT CAST(s AS STRING) AS artifact_key, CAST(gen_line AS INTEGER) AS gen_line, CAST(gen_col AS INTEGER) AS gen_col,
+  'src/s' || s || '.ts' AS source, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col FROM seg""",
+)
+def _(spark, d):
+    return decode_segments(_maps(spark, d)).drop("name")
+
+
+@register(
+    "y7_symbolicate_orders",
+    f"""WITH {MAP_ROWS},
+f AS (SELECT o_orderkey, o_custkey % 100 AS s, o_orderkey % 9 AS lineno, o_orderkey % 2500 AS colno, o_orderstatus = 'P' AS lost FROM orders),
+hit AS (SELECT f.*, g.line, g.col FROM f ASOF JOIN (SELECT *, gen_line * 1000000 + gen_col AS pos FROM seg) g
+  ON f.s = g.s AND f.lineno * 1000000 + f.colno >= g.pos WHERE lineno > 0 AND NOT lost)
+SELECT o_orderkey, CASE WHEN h.line IS NULL THEN 'https://x.example.com/js/s' || f.s || '.min.js' ELSE 'src/s' || f.s || '.ts' END AS filename,
+  coalesce(h.line, f.lineno) AS lineno, coalesce(h.col, f.colno) AS colno, CASE WHEN h.line IS NULL THEN '' ELSE 'src/s' || f.s END AS module,
+  CASE WHEN h.line IS NULL THEN '' ELSE 'line ' || h.line || ' of ' || f.s END AS context_line
+FROM f LEFT JOIN hit h USING (o_orderkey)""",
+)
+def _(spark, d):
+    """Every order is an event with one minified frame; what cannot be resolved keeps its frame."""
+    artifacts = _maps(spark, d).select(
+        F.lit(1).cast("long").alias("project_id"),
+        F.lit("web@1").alias("version"),
+        F.concat(F.lit("~/js/s"), "artifact_key", F.lit(".min.js")).alias("url_pattern"),
+        "artifact_key",
+        "content",
+    )
+    frame = F.struct(
+        F.expr("'https://x.example.com/js/s' || (o_custkey % 100) || '.min.js'").alias("filename"),
+        (F.col("o_orderkey") % 9).cast("int").alias("lineno"),
+        (F.col("o_orderkey") % 2500).cast("int").alias("colno"),
+    )
+    exceptions = F.from_json(F.to_json(F.array(F.struct(F.array(frame).alias("frames")))), schemas.EXCEPTIONS)
+    items = table(spark, d, "orders").select(
+        F.lit(1).cast("long").alias("project_id"),
+        F.col("o_orderkey").cast("string").alias("event_id"),
+        F.when(F.col("o_orderstatus") == "P", "").otherwise("web@1").alias("release"),
+        exceptions.alias("exceptions"),
+    )
+    f = F.col("exceptions")[0]["frames"][0]
+    return symbolicate(items, artifacts).select(
+        F.col("event_id").cast("long").alias("o_orderkey"),
+        f["filename"].alias("filename"),
+        f["lineno"].cast("long").alias("lineno"),
+        f["colno"].cast("long").alias("colno"),
+        F.coalesce(f["module"], F.lit("")).alias("module"),
+        F.coalesce(f["context_line"], F.lit("")).alias("context_line"),
+    )
+
+
 @register(
     "y4_module",
     r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^(?s:.*?)://', ''), '^\./', ''), '^/', ''), '\.[^./]*$', '') AS module FROM pages""",

@@ -142,13 +142,13 @@ def compact(spark: SparkSession, path: str, name: str, month: date, collapse) ->
     overwrite_partitions(collapse(rows), path, name, conform=False)
 
 
-def write_by_trace(spans: DataFrame, path: str) -> None:
+def write_by_trace(spans: DataFrame, path: str, unit: str = "day") -> None:
     """Second copy of the spans, ordered by trace, for reading whole traces.
 
     Range partitioning gives every file of a day its own stretch of traces, the sort gives
     narrow row groups, and the bloom filter rules out the rest.
     """
-    rows = spans.withColumn("day", F.to_date("timestamp"))
-    rows = rows.repartitionByRange("day", "project_id", "trace_id")
-    rows = rows.sortWithinPartitions("day", "project_id", "trace_id", "timestamp")
-    _writer(rows, "day").mode("append").parquet(path)
+    rows = spans.withColumn(unit, F.date_trunc(unit, "timestamp").cast("date"))
+    rows = rows.repartitionByRange(unit, "project_id", "trace_id")
+    rows = rows.sortWithinPartitions(unit, "project_id", "trace_id", "timestamp")
+    _writer(rows, unit).mode("append").parquet(path)
