@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from signalfold.operators import alerts, throttle
@@ -239,3 +241,32 @@ def _(spark, d):
         "rule_id", "dedupe_key", "channel", F.col("settings")["url"].alias("hook"), "project",
         "reason", "level", "fired_at",
     )
+
+
+@register(
+    "t9_minute_passes",
+    f"""WITH t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-01-30', INTERVAL 12 HOUR)) AS now_),
+obs AS (
+  SELECT now_, rule_id, c_operator, c_value, throttle_seconds, CASE c_agg WHEN 'sum' THEN sum(m.value) WHEN 'avg' THEN avg(m.value)
+    WHEN 'max' THEN max(m.value) WHEN 'count' THEN count(*) ELSE min(m.value) END AS observed
+  FROM t CROSS JOIN fx_rules r JOIN fx_metrics m ON m.project_id = r.project_id AND m.name = c_metric
+    AND CASE WHEN c_window > 2880 THEN date_trunc('hour', m.timestamp) ELSE date_trunc('minute', m.timestamp) END >= now_ - to_minutes(c_window)
+    AND CASE WHEN c_window > 2880 THEN date_trunc('hour', m.timestamp) ELSE date_trunc('minute', m.timestamp) END < now_
+  WHERE r.kind = 'metric' AND enabled AND c_window > 0 AND n_channels > 0
+  GROUP BY now_, rule_id, c_agg, c_operator, c_value, throttle_seconds),
+hit AS (SELECT rule_id, 'metric:' || rule_id AS dedupe_key, now_ AS at_, throttle_seconds FROM obs
+  WHERE CASE c_operator WHEN 'lt' THEN observed < c_value ELSE observed >= c_value END),
+{FIRES.format(attempts='hit')}
+SELECT rule_id, dedupe_key, at_ FROM fires""",
+)
+def _(spark, d):
+    """Metric rules evaluated at several moments over the whole metric table, each throttled by the passes before."""
+    minutes, hours = states(spark, d)
+    ready = parsed_rules(spark, d)
+    attempts = None
+    for hour in range(0, 49, 12):
+        now = datetime(2024, 1, 28) + timedelta(hours=hour)
+        found = alerts.with_channels(alerts.evaluate_metrics(minutes, hours, ready, now))
+        attempts = found if attempts is None else attempts.unionByName(found)
+    fired = throttle.fired_times(attempts)
+    return fired.withColumnRenamed("at", "at_")
