@@ -7,21 +7,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from signalfold.functions.text import EDGE, WORD_END, WORD_START, blank_to_null, squeeze, trim
+from signalfold.functions.text import (
+    EDGE,
+    WORD_END,
+    WORD_START,
+    blank_to_null,
+    replace_with_probe,
+    squeeze,
+    trim,
+)
 
 DEFAULT_MARK = "{{default}}"
 SEPARATOR = "\x1f"
 
-# The variable parts of a message, in the order they are replaced.
-# Possessive repeats match the same text and keep the matcher off the call stack.
+# The variable parts of a message, in the order they are replaced, with a plain
+# substring every match contains where there is one.  Possessive repeats match the same text
+# and keep the matcher off the call stack.
 MESSAGE_PARTS = [
-    (r"(?i)" + WORD_START + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + WORD_END, "<uuid>"),
-    (r"(?i)" + EDGE + r"[\w.+-]+@[\w-]+\.[\w.-]+" + EDGE, "<email>"),
-    (r"(?i)" + WORD_START + r"https?://[^\t\n\f\r '\"]+", "<url>"),
-    (r"(?i)" + WORD_START + r"(?:0x)?[0-9a-f]{8,}" + WORD_END, "<hex>"),
-    (r"(?:/[\w.@:-]++){2,}+/?", "<path>"),
-    (r"'[^']*'|\"[^\"]*\"", "<str>"),
-    (WORD_START + r"\d[\d.,]*" + EDGE, "<num>"),
+    (r"(?i)" + WORD_START + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + WORD_END, "<uuid>", "-"),
+    (r"(?i)" + EDGE + r"[\w.+-]+@[\w-]+\.[\w.-]+" + EDGE, "<email>", "@"),
+    (r"(?i)" + WORD_START + r"https?://[^\t\n\f\r '\"]+", "<url>", "://"),
+    (r"(?i)" + WORD_START + r"(?:0x)?[0-9a-f]{8,}" + WORD_END, "<hex>", None),
+    (r"(?:/[\w.@:-]++){2,}+/?", "<path>", "/"),
+    (r"'[^']*'|\"[^\"]*\"", "<str>", None),
+    (r"\d(?<!\w\d)[\d.,]*" + EDGE, "<num>", None),
 ]
 BUNDLE_HASH = r"(?i)[.\-_](?:[0-9a-f]{4,}|[0-9a-z]{8,})(\.\w+)\z"
 
@@ -29,8 +38,11 @@ BUNDLE_HASH = r"(?i)[.\-_](?:[0-9a-f]{4,}|[0-9a-z]{8,})(\.\w+)\z"
 def parameterize(message: Column) -> Column:
     """Replace ids, addresses, paths, quoted text and numbers by placeholders."""
     out = trim(message)
-    for pattern, placeholder in MESSAGE_PARTS:
-        out = F.regexp_replace(out, pattern, placeholder)
+    for pattern, placeholder, probe in MESSAGE_PARTS:
+        if probe:
+            out = replace_with_probe(out, probe, pattern, placeholder)
+        else:
+            out = F.regexp_replace(out, pattern, placeholder)
     return squeeze(out)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from signalfold.functions.text import blank_to_null, clip_bytes, trim
+from signalfold.functions.text import blank_to_null, clip_bytes, let, trim
 
 NIL_UUID = "00000000-0000-0000-0000-000000000000"
+UUID_TEXT = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
 AUTO_IP = "{{auto}}"
 DAY_US = 24 * 3600 * 1_000_000
 MINUTE_US = 60 * 1_000_000
@@ -81,18 +82,22 @@ def corrected_time(ts: Column, received: Column, sent: Column) -> Column:
 
 def parse_uuid(value: Column) -> Column:
     """Lower-case UUID text; URN, braced and undashed forms are accepted, the rest is nil."""
+    lower = F.lower(value)
     size = F.length(value)
+
+    def dashed(text: Column) -> Column:
+        cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+        return F.concat_ws("-", *[F.substring(text, at, n) for at, n in cuts])
+
     plain = (
-        F.when((size == 45) & (F.lower(F.substring(value, 1, 9)) == "urn:uuid:"), F.substring(value, 10, 36))
-        .when(size == 38, F.substring(value, 2, 36))
-        .when(
-            size == 32,
-            F.regexp_replace(value, r"^(.{8})(.{4})(.{4})(.{4})(.{12})\z", "$1-$2-$3-$4-$5"),
-        )
-        .otherwise(value)
+        F.when(size == 36, lower)
+        .when(size == 32, dashed(lower))
+        .when(size == 38, F.substring(lower, 2, 36))
+        .when((size == 45) & lower.startswith("urn:uuid:"), F.substring(lower, 10, 36))
+    )
+    return let(
+        plain, lambda p: F.when(p.rlike(UUID_TEXT), p).otherwise(F.lit(NIL_UUID))
     )
-    valid = plain.rlike(r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z")
-    return F.when(valid, F.lower(plain)).otherwise(F.lit(NIL_UUID))
 
 
 def derived_uuid(*parts: Column) -> Column:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 SPACE_CLASS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+# The same without the blank.
+ODD_SPACE_CLASS = SPACE_CLASS.replace("\\r ", "\\r")
+
 # Java's \b follows Unicode letters on some JDKs; \w is ASCII on all of them.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 WORD_START = r"(?<!\w)"
@@ -24,7 +27,9 @@ def trim(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Collapse every run of white space to one blank."""
-    return trim(F.regexp_replace(text, SPACE_CLASS + "+", " "))
+    # Single blanks are by far the most frequent and need no replacement.
+    blanks = F.regexp_replace(text, ODD_SPACE_CLASS, " ")
+    return trim(F.regexp_replace(blanks, " {2,}", " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,6 +37,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def replace_with_probe(text: Column, probe: str, pattern: str, replacement: str) -> Column:
+    """Regex replacement that first looks for a plain substring every match must contain."""
+    return let(
+        text,
+        lambda t: F.when(t.contains(probe), F.regexp_replace(t, pattern, replacement)).otherwise(t),
+    )
+
+
 def first_token(text: Column, tokens: Sequence[tuple[str, str]]) -> Column:
     """Name of the first listed token that occurs in the text, else ''."""
     found = F.lit("")
