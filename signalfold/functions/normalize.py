@@ -37,19 +37,19 @@ def one_of(value: Column, allowed, default: str) -> Column:
     return F.when(value.isin(*allowed), value).otherwise(F.lit(default))
 
 
+def _lookup(values: dict, key: Column, default: Column) -> Column:
+    """One probe of a constant map."""
+    pairs = [F.lit(x) for pair in values.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), default)
+
+
 def severity(value: Column) -> Column:
-    spelled = F.lower(trim(text(value)))
-    folded = F.lit("info")
-    for name, spellings in SEVERITY_SPELLINGS.items():
-        folded = F.when(spelled.isin(*spellings), name).otherwise(folded)
-    return folded
+    names = {spelling: name for name, all_ in SEVERITY_SPELLINGS.items() for spelling in all_}
+    return _lookup(names, F.lower(trim(text(value))), F.lit("info"))
 
 
 def severity_number(name: Column) -> Column:
-    number = F.lit(SEVERITY_NUMBERS["info"])
-    for label, value in SEVERITY_NUMBERS.items():
-        number = F.when(name == label, value).otherwise(number)
-    return number.cast("tinyint")
+    return _lookup(SEVERITY_NUMBERS, name, F.lit(SEVERITY_NUMBERS["info"])).cast("tinyint")
 
 
 def parse_time(value: Column) -> Column:

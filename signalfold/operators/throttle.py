@@ -77,8 +77,7 @@ def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["_chunk", "_bound"])
-    prior, gap = pdf["_prior"].iloc[0], int(pdf["_gap"].iloc[0])
-    allowed = None if pd.isna(prior) else int(prior) + gap
+    gap, allowed = int(pdf["_gap"].iloc[0]), None
     chunks, states = [], []
     for chunk, steps in pdf.groupby("_chunk", sort=True):
         chunks.append(chunk)
@@ -116,6 +115,14 @@ def fired_times(attempts: DataFrame, history: DataFrame | None = None) -> DataFr
         .withColumn("_start", F.col("_chunk") * width)
         .drop("at")
     )
+    if history is not None:
+        # Attempts too close to the last recorded fire never fire; the rest start afresh.
+        prior = history.groupBy(*KEYS).agg(
+            F.unix_micros(F.max("fired_at").cast("timestamp")).alias("_prior")
+        )
+        points = points.join(prior, KEYS, "left")
+        points = points.filter(F.col("_prior").isNull() | (F.col("_at") >= F.col("_prior") + F.col("_gap")))
+        points = points.drop("_prior")
     types = {f.name: f.dataType for f in points.schema}
     key_fields = [T.StructField(k, types[k]) for k in KEYS]
     chunk_field = T.StructField("_chunk", types["_chunk"])
@@ -125,13 +132,6 @@ def fired_times(attempts: DataFrame, history: DataFrame | None = None) -> DataFr
         + [T.StructField(n, long) for n in ("_gap", "_bound", "_last")]
     )
     steps = points.groupBy(*CHUNK_KEYS).applyInPandas(_steps, steps_schema)
-    if history is None:
-        steps = steps.withColumn("_prior", F.lit(None).cast("long"))
-    else:
-        prior = history.groupBy(*KEYS).agg(
-            F.unix_micros(F.max("fired_at").cast("timestamp")).alias("_prior")
-        )
-        steps = steps.join(prior, KEYS, "left")
     states = steps.groupBy(*KEYS).applyInPandas(
         _compose, T.StructType([*key_fields, chunk_field, T.StructField("_allowed", long)])
     )

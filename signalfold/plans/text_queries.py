@@ -21,6 +21,7 @@ from signalfold.operators.symbolicate import (
 )
 from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
+from signalfold.scale import work_dir
 
 # White space and word edges as RE2 writes them.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -524,7 +525,10 @@ def _maps(spark, d):
         )
         .distinct()
     )
-    return points.groupBy("artifact_key").applyInPandas(_write_map, "artifact_key string, content binary")
+    maps = points.groupBy("artifact_key").applyInPandas(_write_map, "artifact_key string, content binary")
+    path = work_dir(spark, "maps")
+    maps.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 # Maps start with line 1 only where the supplier has an order line numbered 1, as all of them do.
