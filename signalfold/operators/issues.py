@@ -163,6 +163,9 @@ def alert_signals(
     occurrences: DataFrame, actions: DataFrame | None, order: Sequence[str] = ("timestamp", "seq")
 ) -> DataFrame:
     """New-issue and regression signals, ready for the alert rules."""
+    # Only what a signal says; whole events would be carried through every sort.
+    said = ("title", "culprit", "level", "release", "environment", "timestamp")
+    occurrences = occurrences.select(*dict.fromkeys((*KEYS, *order, *said)))
 
     def signal(rows: DataFrame, kind: str) -> DataFrame:
         return rows.select(

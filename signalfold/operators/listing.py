@@ -215,8 +215,8 @@ def metric_catalogue(metrics: DataFrame, limit: int = MAX_METRIC_NAMES) -> DataF
     """Each metric name with its type, unit and tag keys."""
     # Distinct keys first: the list collected per name holds keys, never rows.
     keys = (
-        metrics.groupBy("project_id", "name", "type", "unit", F.map_keys("tags").alias("_keys"))
-        .agg(F.lit(1).alias("_one"))
+        metrics.select("project_id", "name", "type", "unit", F.map_keys("tags").alias("_keys"))
+        .distinct()
         .select("project_id", "name", "type", "unit", F.explode_outer("_keys").alias("_key"))
         .distinct()
     )

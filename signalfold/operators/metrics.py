@@ -43,11 +43,13 @@ def aggregate(df: DataFrame, keys: list[str], agg: str) -> DataFrame:
         return df.groupBy(*keys).agg(
             merged(agg).alias("value"), F.sum("count").alias("observations")
         )
-    count = F.count("*").alias("observations")
+    count = F.count("*")
     if agg in QUANTILES:
-        rows = aggregate_with_percentiles(df, keys, "value", [QUANTILES[agg]], [count])
+        rows = aggregate_with_percentiles(
+            df, keys, "value", [QUANTILES[agg]], {"observations": count}
+        )
         return rows.select(*keys, F.col("q")[0].alias("value"), "observations")
-    return df.groupBy(*keys).agg(exact(agg).alias("value"), count)
+    return df.groupBy(*keys).agg(exact(agg).alias("value"), count.alias("observations"))
 
 
 def _selected(df: DataFrame, start, end, project_id, names) -> DataFrame:

@@ -8,7 +8,7 @@ then only the rows of those buckets are counted value by value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,13 +95,23 @@ def aggregate_with_percentiles(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    aggs: Sequence[Column],
+    sums: Mapping[str, Column],
+    labels: Sequence[str] = (),
     name: str = "q",
     single_pass_bytes: int = SINGLE_PASS_BYTES,
 ) -> DataFrame:
-    """`groupBy(keys).agg(*aggs)` plus an array column of exact percentiles of `value`."""
+    """Per group: aggregates that add up, one value of each label, exact percentiles of `value`.
+
+    A label (text that is the same for a whole group, or any of its values) cannot live in the
+    buffer of a hash aggregate.  For large input it therefore becomes a grouping column first,
+    which keeps the pass over the rows free of sorting.
+    """
+    totals = [expr.alias(column) for column, expr in sums.items()]
+    smallest = [F.min(column).alias(column) for column in labels]
     if input_bytes(df) <= single_pass_bytes:
         points = F.percentile(F.col(value), [float(p) for p in probs])
-        return df.groupBy(*keys).agg(*aggs, points.alias(name))
-    base = df.groupBy(*keys).agg(*aggs)
+        return df.groupBy(*keys).agg(*smallest, *totals, points.alias(name))
+    base = df.groupBy(*keys, *labels).agg(*totals)
+    if labels:
+        base = base.groupBy(*keys).agg(*smallest, *[F.sum(c).alias(c) for c in sums])
     return null_safe_join(base, rank_percentiles(df, keys, value, probs, name), keys, "left")

@@ -30,16 +30,32 @@ def to_ms(nanos: Column) -> Column:
     return nanos / F.lit(NS_PER_MS)
 
 
-def failure_rate() -> Column:
-    return F.count_if(F.col("status") == "error") / F.count("*")
+ERRORS = "_errors"
+SATISFIED = "_satisfied"
+TOLERATING = "_tolerating"
 
 
-def apdex(duration: str, t_seconds: float = DEFAULT_APDEX_T) -> Column:
-    """Satisfied up to T, tolerating up to 4T at half weight."""
+def failures() -> Column:
+    return F.count_if(F.col("status") == "error")
+
+
+def apdex_counts(duration: str, t_seconds: float = DEFAULT_APDEX_T) -> dict[str, Column]:
+    """Requests satisfied (up to T) and tolerating (up to 4T)."""
     t = F.lit(int(round(t_seconds * 1e9)))
-    satisfied = F.count_if(F.col(duration) <= t)
-    tolerating = F.count_if((F.col(duration) > t) & (F.col(duration) <= t * 4))
-    return (satisfied + tolerating / 2) / F.count("*")
+    return {
+        SATISFIED: F.count_if(F.col(duration) <= t),
+        TOLERATING: F.count_if((F.col(duration) > t) & (F.col(duration) <= t * 4)),
+    }
+
+
+def apdex_score(satisfied: Column, tolerating: Column, count: Column) -> Column:
+    return (satisfied + tolerating / 2) / count
+
+
+def apdex(duration: str, t_seconds: float = DEFAULT_APDEX_T) -> Column:
+    """The score as one aggregate expression."""
+    counts = apdex_counts(duration, t_seconds)
+    return apdex_score(counts[SATISFIED], counts[TOLERATING], F.count("*"))
 
 
 def window_minutes(start: datetime | str, end: datetime | str) -> float:
@@ -84,13 +100,8 @@ def transactions(
         ["project_id", "name"],
         "duration_ns",
         [0.5, 0.75, 0.95, 0.99],
-        [
-            F.min("op").alias("op"),
-            F.min("service").alias("service"),
-            F.count("*").alias("count"),
-            failure_rate().alias("failure_rate"),
-            apdex("duration_ns", apdex_t).alias("apdex"),
-        ],
+        {"count": F.count("*"), ERRORS: failures(), **apdex_counts("duration_ns", apdex_t)},
+        labels=["op", "service"],
         single_pass_bytes=single_pass_bytes,
     )
     minutes = window_minutes(start, end)
@@ -105,8 +116,8 @@ def transactions(
             to_ms(F.col("q")[i]).alias(f"{label}_ms")
             for i, label in enumerate(("p50", "p75", "p95", "p99"))
         ],
-        "failure_rate",
-        "apdex",
+        (F.col(ERRORS) / F.col("count")).alias("failure_rate"),
+        apdex_score(F.col(SATISFIED), F.col(TOLERATING), F.col("count")).alias("apdex"),
     )
     return top_per_project(rows, [order, F.col("name")], clamp(limit, 200))
 
@@ -164,12 +175,8 @@ def slow_queries(
         ["project_id", "db_statement"],
         "duration_ns",
         [0.95],
-        [
-            F.min("db_system").alias("db_system"),
-            F.count("*").alias("count"),
-            F.avg("duration_ns").alias("_mean"),
-            F.sum("duration_ns").cast("double").alias("_total"),
-        ],
+        {"count": F.count("*"), "_total": F.sum("duration_ns")},
+        labels=["db_system"],
         single_pass_bytes=single_pass_bytes,
     )
     rows = grouped.select(
@@ -178,8 +185,8 @@ def slow_queries(
         "db_system",
         "count",
         to_ms(F.col("q")[0]).alias("p95_ms"),
-        to_ms(F.col("_mean")).alias("avg_ms"),
-        to_ms(F.col("_total")).alias("total_ms"),
+        to_ms(F.col("_total") / F.col("count")).alias("avg_ms"),
+        to_ms(F.col("_total").cast("double")).alias("total_ms"),
     )
     return top_per_project(rows, [F.col("total_ms").desc(), F.col("statement")], clamp(limit, 100))
 
@@ -264,13 +271,11 @@ def compare_releases(
         ["project_id", "name", "rank"],
         "duration_ns",
         [0.95],
-        [
-            F.min("release").alias("release"),
-            failure_rate().alias("fail"),
-            F.count("*").alias("n"),
-        ],
+        {"n": F.count("*"), ERRORS: failures()},
+        labels=["release"],
         single_pass_bytes=single_pass_bytes,
-    ).withColumn("p95", to_ms(F.col("q")[0]))
+    )
+    stats = stats.withColumn("p95", to_ms(F.col("q")[0])).withColumn("fail", F.col(ERRORS) / F.col("n"))
 
     def side(rank: int, column: str) -> Column:
         return F.max(F.when(F.col("rank") == rank, F.col(column)))

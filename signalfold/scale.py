@@ -17,6 +17,25 @@ SINGLE_PASS_BYTES = 256 << 20
 BROADCAST_BYTES = 8 << 20
 
 
+# Session settings the jobs are written for.  Shuffle partitions are only the starting point:
+# adaptive execution merges small ones and splits skewed ones.
+SESSION_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Sketch aggregates keep hashing for more than the default 128 groups per task.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for name, value in SESSION_SETTINGS.items():
+        spark.conf.set(name, value)
+    return spark
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes read by the leaves of the optimised plan; an unknown leaf counts as huge."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

@@ -24,14 +24,31 @@ def test_percentiles_match_numpy(spark):
             by_key.setdefault(k, []).append(v)
     want = {k: np.quantile(v, probs) for k, v in by_key.items()}
     for got in (rank_percentiles(df, ["k"], "v", probs),
-                aggregate_with_percentiles(df, ["k"], "v", probs, [F.count("*").alias("n")], single_pass_bytes=0),
-                aggregate_with_percentiles(df, ["k"], "v", probs, [F.count("*").alias("n")], single_pass_bytes=1 << 40)):
+                aggregate_with_percentiles(df, ["k"], "v", probs, {"n": F.count("*")}, single_pass_bytes=0),
+                aggregate_with_percentiles(df, ["k"], "v", probs, {"n": F.count("*")}, single_pass_bytes=1 << 40)):
         got = {r.k: r.q for r in got.collect()}
         assert set(got) == set(want)
         for k in want:
             assert np.allclose(got[k], want[k], rtol=1e-12), k
 
 
+def test_large_input_path_of_transactions(spark):
+    from signalfold.operators import performance as perf
+
+    rng = random.Random(3)
+    rows = [(1 + i % 2, rng.choice(["a", "b"]), rng.choice(["x", "y"]), "s", T0, rng.randrange(10**9), rng.choice(["ok", "error"]), True, "prod", f"r{i % 3}", "db.query", f"q{i % 4}", "pg") for i in range(3000)]
+    df = spark.createDataFrame(rows, "project_id long, name string, op string, service string, timestamp timestamp, duration_ns long, status string, is_segment boolean, environment string, release string, _op string, db_statement string, db_system string")
+    queries = df.withColumn("op", F.col("_op"))
+    for build in (lambda n: perf.transactions(df, "2023-01-01", "2025-01-01", single_pass_bytes=n), lambda n: perf.slow_queries(queries, "2023-01-01", "2025-01-01", single_pass_bytes=n), lambda n: perf.compare_releases(df, "2023-01-01", "2025-01-01", single_pass_bytes=n)):
+        large, small = build(0), build(1 << 40)
+        key = [c for c, t in small.dtypes if t in ("string", "bigint")]
+        large, small = large.orderBy(*key).collect(), small.orderBy(*key).collect()
+        assert len(large) == len(small) > 0
+        for a, b in zip(large, small):
+            for x, y in zip(a, b):
+                assert x == y or abs(x - y) < 1e-9 * max(abs(x), abs(y))
+
+
 def brute_fires(times, gap, last):
     fires = []
     for t in sorted(set(times)):
