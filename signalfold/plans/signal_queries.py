@@ -14,7 +14,7 @@ from signalfold.functions import normalize
 from signalfold.operators import signals
 from signalfold.plans.adapters import errors, logs, metrics, spans, table
 from signalfold.plans.registry import register
-from signalfold.scale import work_dir
+from signalfold.scale import spread_if_small, work_dir
 from signalfold.sources import control, envelopes, jobs, tables
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -36,7 +36,7 @@ def job_lines(rows, kind: str, payload):
         F.struct(F.lit("js").alias("name"), F.lit("1.2").alias("version")).alias("sdk"),
         F.lit("198.51.100.7").alias("client_ip"),
     )
-    return rows.select(F.to_json(job).alias("value"))
+    return spread_if_small(rows).select(F.to_json(job).alias("value"))
 
 
 def error_lines(spark, d):
@@ -513,7 +513,7 @@ DOC_ENVELOPE = """concat('{"sent_at":"2024-01-01T00:00:00Z","sdk":{"name":"js","
 
 def _doc_envelopes(spark, d):
     """One envelope per document: its whole text, an item of an unknown type, and a last item without newline."""
-    return table(spark, d, "documents").select(
+    return spread_if_small(table(spark, d, "documents")).select(
         F.col("doc_id").cast("string").alias("path"), F.encode(F.expr(DOC_ENVELOPE), "UTF-8").alias("content")
     )
 

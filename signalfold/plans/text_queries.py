@@ -21,7 +21,7 @@ from signalfold.operators.symbolicate import (
 )
 from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
-from signalfold.scale import work_dir
+from signalfold.scale import spread_if_small, work_dir
 
 # White space and word edges as RE2 writes them.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -73,6 +73,11 @@ FROM joined
 """
 
 
+def text_table(spark, d, name):
+    """A table whose rows cost much more to work on than to read."""
+    return spread_if_small(table(spark, d, name))
+
+
 # --- scrub ---------------------------------------------------------------------------------------
 
 
@@ -81,7 +86,7 @@ FROM joined
     sql_cards(f"SELECT doc_id, {sql_secrets('text')} AS t0 FROM documents", "doc_id", "t0"),
 )
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", scrub.scrub_text(F.col("text")).alias("scrubbed"))
+    return text_table(spark, d, "documents").select("doc_id", scrub.scrub_text(F.col("text")).alias("scrubbed"))
 
 
 @register(
@@ -89,7 +94,7 @@ def _(spark, d):
     sql_cards(f"SELECT page_id, {sql_secrets('html')} AS t0 FROM pages", "page_id", "t0"),
 )
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", scrub.scrub_text(F.col("html")).alias("scrubbed"))
+    return text_table(spark, d, "pages").select("page_id", scrub.scrub_text(F.col("html")).alias("scrubbed"))
 
 
 @register(
@@ -97,7 +102,7 @@ def _(spark, d):
     sql_cards(f"SELECT conv_id, turn, {sql_secrets('text')} AS t0 FROM conversations", "conv_id, turn", "t0"),
 )
 def _(spark, d):
-    return table(spark, d, "conversations").select(
+    return text_table(spark, d, "conversations").select(
         "conv_id", "turn", scrub.scrub_text(F.col("text")).alias("scrubbed")
     )
 
@@ -116,7 +121,7 @@ PAYMENT = """'pay ' || l_orderkey || ' with 4' || lpad(CAST(l_orderkey * 100003
 )
 def _(spark, d):
     """One card-like number per order line; about a tenth passes the check digit."""
-    return table(spark, d, "lineitem").select(
+    return text_table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         scrub.redact_cards(F.expr(PAYMENT)).alias("scrubbed"),
     )
@@ -186,7 +191,7 @@ def _(spark, d):
         scrub.scrub_json(doc),
         "headers struct<`Api-Key`:string,role:string>, data struct<form:struct<csrf:string>>, list array<string>",
     )
-    return table(spark, d, "conversations").withColumn("o", out).select(
+    return text_table(spark, d, "conversations").withColumn("o", out).select(
         "conv_id", "turn",
         F.col("o.headers.Api-Key").alias("secret"),
         F.col("o.data.form.csrf").alias("nested"),
@@ -255,12 +260,12 @@ def _(spark, d):
 
 @register("g6_parameterize_documents", f"SELECT doc_id, {sql_parameterize('text')} AS shape FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", grouping.parameterize(F.col("text")).alias("shape"))
+    return text_table(spark, d, "documents").select("doc_id", grouping.parameterize(F.col("text")).alias("shape"))
 
 
 @register("g6_parameterize_pages", f"SELECT page_id, {sql_parameterize('html')} AS shape FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", grouping.parameterize(F.col("html")).alias("shape"))
+    return text_table(spark, d, "pages").select("page_id", grouping.parameterize(F.col("html")).alias("shape"))
 
 
 @register(
@@ -346,7 +351,7 @@ def _(spark, d):
 def _(spark, d):
     none = F.lit(None).cast(schemas.EXCEPTIONS)
     component = grouping.message_components(F.col("text"), none)[0]
-    rows = table(spark, d, "documents").select("doc_id", component.alias("component"))
+    rows = text_table(spark, d, "documents").select("doc_id", component.alias("component"))
     return rows.filter(F.col("component").isNotNull())
 
 
@@ -527,7 +532,7 @@ def _maps(spark, d):
     )
     maps = points.groupBy("artifact_key").applyInPandas(_write_map, "artifact_key string, content binary")
     path = work_dir(spark, "maps")
-    maps.write.parquet(path)
+    spread_if_small(maps).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -571,7 +576,7 @@ def _(spark, d):
         (F.col("o_orderkey") % 2500).cast("int").alias("colno"),
     )
     exceptions = F.from_json(F.to_json(F.array(F.struct(F.array(frame).alias("frames")))), schemas.EXCEPTIONS)
-    items = table(spark, d, "orders").select(
+    items = text_table(spark, d, "orders").select(
         F.lit(1).cast("long").alias("project_id"),
         F.col("o_orderkey").cast("string").alias("event_id"),
         F.when(F.col("o_orderstatus") == "P", "").otherwise("web@1").alias("release"),
@@ -616,7 +621,7 @@ SELECT doc_id, array_to_string(list_slice(lines, greatest(n - 5, 1), n - 1), '|'
 FROM n WHERE n <= len(lines)""",
 )
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    docs = text_table(spark, d, "documents")
     lines = F.size(F.split("text", "\r?\n", -1))
     at = (F.lit(1) + F.col("doc_id") % (lines + 1)).cast("int")
     return (
@@ -643,7 +648,7 @@ FROM t""",
 )
 def _(spark, d):
     exc = F.array(F.struct(F.lit("Error").alias("type"), F.col("text").alias("value")))
-    return table(spark, d, "documents").select(
+    return text_table(spark, d, "documents").select(
         "doc_id", normalize.title(exc, F.lit(None).cast("string")).alias("title")
     )
 

@@ -47,6 +47,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if input_bytes(df) <= limit else df
 
 
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Spread costly per-row work over all cores when the input has too few splits for that.
+
+    A small file is often one row group and hence one task.  Large input has splits enough
+    and must not be shuffled for this, so the size is checked.
+    """
+    if input_bytes(df) > SINGLE_PASS_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint folder the cluster names in its settings."""
     base = spark.conf.get("spark.checkpoint.dir", None)
