@@ -80,8 +80,8 @@ for _sort, _order in {
 @register(
     "p1_exact_percentiles_by_rank",
     """
-SELECT project_id, op, round(quantile_cont(duration_ns, 0.5), 8) AS p50, round(quantile_cont(duration_ns, 0.95), 8) AS p95,
-  round(quantile_cont(duration_ns, 0.99), 8) AS p99
+SELECT project_id, op, round(quantile_cont(duration_ns, 0.5) / 1e6, 8) AS p50_ms, round(quantile_cont(duration_ns, 0.95) / 1e6, 8) AS p95_ms,
+  round(quantile_cont(duration_ns, 0.99) / 1e6, 8) AS p99_ms
 FROM fx_spans GROUP BY ALL
 """,
 )
@@ -92,7 +92,10 @@ def _(spark, d):
     return q.select(
         "project_id",
         "op",
-        *[F.round(F.col("q")[i], 8).alias(n) for i, n in enumerate(("p50", "p95", "p99"))],
+        *[
+            F.round(perf.to_ms(F.col("q")[i]), 8).alias(f"{n}_ms")
+            for i, n in enumerate(("p50", "p95", "p99"))
+        ],
     )
 
 
