@@ -173,7 +173,9 @@ def _typed(kind: str, text: str, now: datetime | None):
         try:
             if "_" in text:
                 raise ValueError
-            return float(text)
+            number = float(text)
+            # A whole number compares with an integer column without a cast.
+            return int(number) if number.is_integer() else number
         except ValueError:
             raise ValueError(f"{text!r} is no number") from None
     if kind == "duration":

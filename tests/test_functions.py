@@ -1,9 +1,7 @@
 """Known input/output pairs of the column functions."""
 
 import json
-from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from signalfold.functions import enrich, grouping, normalize, scrub

@@ -2,7 +2,7 @@
 
 import gzip
 import json
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
