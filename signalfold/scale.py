@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
@@ -59,12 +58,8 @@ def spread_if_small(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under the shared checkpoint folder the cluster names in its settings."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.gettempdir()
+    """A fresh folder below the shared folder of spark.checkpoint.dir, or of the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
     return f"{base.rstrip('/')}/signalfold/{label}-{uuid.uuid4().hex}"
 
 
