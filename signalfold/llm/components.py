@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from signalfold.scale import work_dir
@@ -38,13 +38,14 @@ def components(links: DataFrame) -> DataFrame:
     `links` has columns a, b.  A node's neighbours are only ever reduced to their minimum, which
     Spark does before the shuffle, so a node may have any number of links.
     """
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     seen = None
     while True:
-        edges = stored(_star(_star(edges, True), False), "edges")
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == seen:
+        told = Observation()
+        facts = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
+        edges = stored(_star(_star(edges, True), False).observe(told, *facts), "edges")
+        if told.get == seen:
             break
-        seen = state
+        seen = told.get
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).distinct()

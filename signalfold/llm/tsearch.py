@@ -7,9 +7,9 @@ short lists, which are merged, and is then probed on the long ones by binary sea
 
 Copies of one shingle set are one representative.  Blocks of documents learn which of their short
 lists hold any second document; a document with too few such lists has no partner and is done.
-In the lists that are left one pivot is a query at a time, so a list costs its length, not its
-square: members linked to the pivot join its component, and only members of different components
-meet again.
+In the lists that are left only a few pivots are queries at first, so a list costs its length, not
+its square: members linked to a pivot join its component, and only members of lists that still
+hold different components are queries again.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ PERCENT = 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 3_000_000
 OFTEN = 4  # documents of one batch that share a shingle before it is reported as common
-PIVOT_ROUNDS = 4
+PIVOTS = 3  # members of a list that meet all its others
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -213,31 +213,33 @@ def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, commo
 
 
 def _candidates(postings: DataFrame, full: bool) -> DataFrame:
-    """Pairs (a, b) of documents of different components that share enough short lists.
+    """Pairs (a, b), a < b, of documents of different components that share enough short lists.
 
-    `postings` has doc_id, n, token, component, turn.  Normally the least turn of a list is its
-    pivot and meets the members outside its component; such lists are not all of the pair's, so
-    one is enough.  With `full`, each member meets those of other components with a greater id;
-    then all common lists of a pair are there and the bound on their number applies.
+    `postings` has doc_id, n, token and component.  First every list has a few pivots (its least
+    members in as many orders), each of which meets all members; such lists are not all those of
+    a pair, so one is enough.  With `full`, members meet those of other components in what lists
+    still hold several; then all common lists of a pair are there and the bound applies.
     """
-    lists = postings.groupBy("token").agg(
-        F.min(F.struct("turn", "doc_id", "component", "n")).alias("pivot"), F.min("component").alias("low"),
-        F.max("component").alias("high"), F.count("*").alias("size"),
-    ).where("low <> high")
+    aggregates = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")]
+    if not full:
+        orders = [F.xxhash64("doc_id", F.lit(i)) if i else F.col("doc_id") for i in range(PIVOTS)]
+        aggregates += [F.min(F.struct(o.alias("turn"), "doc_id", "n")).alias(f"p{i}") for i, o in enumerate(orders)]
+    lists = postings.groupBy("token").agg(*aggregates).where("low <> high")
     member = postings.select("token", "doc_id", "component", "n")
     if full:
         query = member.join(lists.select("token", "size"), "token").select(
-            "token", "size", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
+            "token", "size", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq")
         )
-        own = F.col("a") < F.col("doc_id")
+        other = (F.col("cq") != F.col("component")) & (F.col("q") < F.col("doc_id"))
     else:
-        query = lists.select("token", "size", F.col("pivot.doc_id").alias("a"), F.col("pivot.n").alias("na"), F.col("pivot.component").alias("ca"))
-        own = F.col("a") != F.col("doc_id")
-    sized = (100 * F.col("n") >= PERCENT * F.col("na")) & (100 * F.col("na") >= PERCENT * F.col("n"))
-    met = member.join(query, "token").where(own & (F.col("ca") != F.col("component")) & sized)
+        pivots = F.array_distinct(F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n") for i in range(PIVOTS)]))
+        query = lists.select("token", "size", F.explode(pivots).alias("p")).select("token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"))
+        other = F.col("q") != F.col("doc_id")
+    sized = (100 * F.col("n") >= PERCENT * F.col("nq")) & (100 * F.col("nq") >= PERCENT * F.col("n"))
+    met = member.join(query, "token").where(other & sized)
     # A query with long lists is dealt out by its partners, so that none is merged in one task.
     salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("size") / 5000).cast("int")))
-    rows = met.select("a", "na", "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), salt.alias("salt"))
+    rows = met.select(F.col("q").alias("a"), F.col("nq").alias("na"), "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), salt.alias("salt"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "token", "b")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,8 @@ def _candidates(postings: DataFrame, full: bool) -> DataFrame:
         if lists:
             yield out(answer(query, na, lists, sizes))
 
-    return rows.mapInArrow(merge, "a long, b long").distinct()
+    found = rows.mapInArrow(merge, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -310,18 +313,14 @@ def near_duplicates(
     left = stored(_survivors(named, reps.select("rep").distinct(), size // block_bytes + 1, shards, common, counts, width, percent), "survivors")
     sets = left.select("doc_id", "tokens")
     postings = left.select("doc_id", "n", F.explode("lists").alias("token"))
-    links, known = named.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0), None
-    for step in range(PIVOT_ROUNDS + 1):
-        own = F.col("doc_id")
-        now = postings if known is None else postings.join(known, F.col("doc_id") == F.col("node"), "left")
-        now = now.withColumn("component", own if known is None else F.coalesce("component", own))
-        now = now.withColumn("turn", F.xxhash64("doc_id", F.lit(step)) if step else own)
-        pairs = stored(_candidates(now, full=step == PIVOT_ROUNDS), "pairs")
-        if pairs.isEmpty():
-            break  # every list lies in one component
-        links = links.unionByName(stored(_linked(pairs, sets, percent), "links"))
-        known = components(links)
-    known = known if known is not None else links.toDF("node", "component")
+    pairs = stored(_candidates(postings.withColumn("component", F.col("doc_id")), full=False), "pairs")
+    links = stored(_linked(pairs, sets, percent), "links")
+    known = components(links)
+    now = postings.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    pairs = stored(_candidates(now, full=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_linked(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        known = components(links.unionByName(more))
     ids = facts.select("doc_id", F.col("n").alias("n_shingles"), "n", "s1", "s2").where("doc_id is not null")
     placed = ids.join(reps, ["n", "s1", "s2"], "left").join(known, F.col("rep") == F.col("node"), "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
