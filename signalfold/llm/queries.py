@@ -146,3 +146,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from signalfold.llm.tsearch import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS j FROM documents),
+t AS (SELECT doc_id, line, j, regexp_extract_all(line, '[^\s]+') AS ws FROM l),
+m AS (SELECT doc_id, line, j, len(ws) AS n, array_to_string(list_transform(ws, lambda x: CASE WHEN regexp_matches(x, '[0-9]|^https?://|^www\.|^[^@]+@[^@]+\.|^(/[^/]+){2}') THEN '<*>' ELSE x END), ' ') AS k FROM t WHERE len(ws) > 0),
+o AS (SELECT n, k FROM m GROUP BY n, k HAVING count(DISTINCT doc_id) >= 20),
+d AS (SELECT m.doc_id, m.j, m.n, o.k IS NOT NULL AS dropped FROM m LEFT JOIN o ON o.k = m.k AND o.n = m.n),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS c, 100 * coalesce(sum(n) FILTER (dropped), 0) <= 50 * sum(n) AS ok FROM d GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN ok THEN c ELSE 0 END AS n_dropped,
+  sha256(CASE WHEN ok AND c > 0 THEN (SELECT coalesce(string_agg(l.line, chr(10) ORDER BY l.j), '') FROM l LEFT JOIN d ON d.doc_id = l.doc_id AND d.j = l.j
+    WHERE l.doc_id = x.doc_id AND NOT coalesce(d.dropped, false)) ELSE coalesce(x.text, '') END) AS text_sha256
+FROM documents x LEFT JOIN s ON s.doc_id = x.doc_id
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalfold.llm.line_templates import drop_recurring_lines
+
+    kept = drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalfold.llm.cotrain import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
