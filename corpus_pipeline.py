@@ -1,8 +1,78 @@
-"""The corpus pipeline: each stage reads what the one before it kept."""
+"""The corpus pipeline: five stages, each of which reads what the one before it kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet to
+the shared work folder and reads again as the next stage's documents.  All stages but the last
+return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalfold.llm.components import stored
+from signalfold.llm.decontaminate import find_hits, remove_documents
+from signalfold.llm.langid import UNKNOWN, identify, learn
+from signalfold.llm.line_templates import drop_recurring_lines
+from signalfold.llm.packing import pack_documents
+from signalfold.llm.queries import table, tokenizer_path
+from signalfold.llm.tsearch import near_duplicates
+
+# A document goes if no language holds its text: no letters, or spans of several languages.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without letters or without one leading language; null texts have none."""
+    model = learn(docs)
+    if model is None:  # nothing to learn from, so nothing to judge by
+        return docs
+    found = identify(docs, model)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts recurring lines out of the texts; no document goes, and n_chars follows a changed text."""
+    cut = drop_recurring_lines(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
+    return cut.select(docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays; rows without an id stay.
+
+    Of rows that repeat the id of a document that stays, all stay.
+    """
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return remove_documents(docs, find_hits(docs, table(spark, sf_dir, "benchmark")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, one row per piece."""
+    return pack_documents(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontaminate", decontaminate),
+    ("best_fit_packing", best_fit_packing),
+]
+
+# The first stage is a fitted model and the last one packs tokens; neither can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return stored(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
