@@ -32,7 +32,7 @@ class Encoder:
     at most `limit` pieces; then the half that came last (the rarer words) is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
+    def __init__(self, path: str, limit: int = 1_500_000) -> None:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
