@@ -32,7 +32,7 @@ PERCENT = 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 3_000_000
 OFTEN = 4  # documents of one batch that share a shingle before it is reported as common
-PIVOTS = 3  # members of a list that meet all its others
+PIVOTS = 12  # most members of a list that meet all its others at first; a list of 2**k has k of them
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -232,13 +232,14 @@ def _candidates(postings: DataFrame, full: bool) -> DataFrame:
         )
         other = (F.col("cq") != F.col("component")) & (F.col("q") < F.col("doc_id"))
     else:
-        pivots = F.array_distinct(F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n") for i in range(PIVOTS)]))
+        all_ = F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n") for i in range(PIVOTS)])
+        pivots = F.array_distinct(F.slice(all_, F.lit(1), F.least(F.lit(PIVOTS), F.ceil(F.log2("size")).cast("int"))))
         query = lists.select("token", "size", F.explode(pivots).alias("p")).select("token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"))
         other = F.col("q") != F.col("doc_id")
     sized = (100 * F.col("n") >= PERCENT * F.col("nq")) & (100 * F.col("nq") >= PERCENT * F.col("n"))
     met = member.join(query, "token").where(other & sized)
     # A query with long lists is dealt out by its partners, so that none is merged in one task.
-    salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("size") / 5000).cast("int")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("size") / 300).cast("int")))
     rows = met.select(F.col("q").alias("a"), F.col("nq").alias("na"), "token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), salt.alias("salt"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "token", "b")
 
