@@ -146,7 +146,7 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
 def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
     words = normalise(text)
-    n_words = max(words.count(b" ") - 1, 0)
+    n_words = words.count(b" ") - 1 if len(words) > 2 else 0
     if not any(k in words for k in GATE):
         return n_words, 0, None, None, "", "", 0.0
     starts, base = [], set()

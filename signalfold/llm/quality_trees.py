@@ -219,9 +219,9 @@ def judge_quality(
     """
 
     def add(x: np.ndarray) -> dict:
-        return {"score": model.score(x) if model else np.full(len(x), np.nan)}
+        return {"score": model.score(x) if model else pd.array([None] * len(x), "Float64")}
 
     rows = _statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "score double", add)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    good = (F.col("score") >= keep_from) | F.isnan("score")
-    return rows.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & good).alias("kept"), F.nanvl("score", F.lit(None)).alias("score"))
+    good = F.coalesce(F.col("score") >= keep_from, F.lit(True))
+    return rows.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & good).alias("kept"), "score")

@@ -32,7 +32,7 @@ PERCENT = 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 3_000_000
 OFTEN = 4  # documents of one batch that share a shingle before it is reported as common
-PIVOTS = 12  # most members of a list that meet all its others at first; a list of 2**k has k of them
+PIVOTS = 4  # most members of a list that meet all its others at first; a list of 2**k has k of them
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
