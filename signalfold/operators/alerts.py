@@ -20,7 +20,6 @@ DEFAULT_THROTTLE_SECONDS = 3600
 MAX_SPIKES = 100
 ROLLUP_CUTOVER_MINUTES = 48 * 60
 # Errors are kept 90 days, so no window can look further back.
-MAX_WINDOW = timedelta(days=90)
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
@@ -148,26 +147,27 @@ def match_signals(signals: DataFrame, rules: DataFrame, dashboard: str = "") ->
     )
 
 
+def _widest(rules: DataFrame) -> timedelta:
+    """The longest `_window` (minutes) of some rules; one row comes back."""
+    return timedelta(minutes=rules.agg(F.max("_window")).first()[0] or 0)
+
+
 # --- T2: frequency -------------------------------------------------------------------------------
 
 
 def frequent_groups(
-    errors: DataFrame, rules: DataFrame, now: datetime | str, max_window: timedelta = MAX_WINDOW
+    errors: DataFrame, rules: DataFrame, now: datetime | str
 ) -> DataFrame:
     """(rule_id, project_id, group_hash, count) of the groups over each rule's threshold.
 
+    The scan reaches back as far as the widest enabled rule.
+
     Occurrences are counted per group and whole minute of age first, so the rules meet
     counts and not occurrences, and rules with different windows share one scan.
     """
     moment = utc(now)
     now_us = F.lit(int((moment - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 + moment.microsecond)
     at_us = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    counts = (
-        in_window(errors, moment - max_window)
-        .withColumn("_age", F.ceil((now_us - at_us) / F.lit(60_000_000)))
-        .groupBy(*ISSUE_KEYS, "_age")
-        .agg(F.count("*").alias("_n"))
-    )
     usable = (
         enabled(rules, "frequency")
         .select(
@@ -178,6 +178,12 @@ def frequent_groups(
         )
         .filter("_threshold > 0 AND _window > 0")
     )
+    counts = (
+        in_window(errors, moment - _widest(usable))
+        .withColumn("_age", F.ceil((now_us - at_us) / F.lit(60_000_000)))
+        .groupBy(*ISSUE_KEYS, "_age")
+        .agg(F.count("*").alias("_n"))
+    )
     summed = (
         counts.join(broadcast_if_small(usable), "project_id")
         .filter("_age <= _window")
@@ -258,10 +264,8 @@ def _metric_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def observed_metrics(
-    minutes: DataFrame, hours: DataFrame, rules: DataFrame, now, max_window: timedelta = MAX_WINDOW
-) -> DataFrame:
-    """One observed value per metric rule that has data in its window."""
+def observed_metrics(minutes: DataFrame, hours: DataFrame, rules: DataFrame, now) -> DataFrame:
+    """One observed value per metric rule that has data in its window, however wide that is."""
     moment = utc(now)
     candidates = _metric_rules(rules)
     wide = F.col("_window") > ROLLUP_CUTOVER_MINUTES
@@ -269,8 +273,9 @@ def observed_metrics(
     def joined(states: DataFrame, time_col: str, which: Column) -> DataFrame:
         at = F.col(time_col).cast("timestamp")
         end = F.lit(moment.isoformat(sep=" ") + " UTC").cast("timestamp")
-        recent = in_window(states, moment - max_window, moment, time_col)
-        pairs = recent.join(broadcast_if_small(candidates.filter(which)), ["project_id", "name"])
+        own = candidates.filter(which)
+        recent = in_window(states, moment - _widest(own), moment, time_col)
+        pairs = recent.join(broadcast_if_small(own), ["project_id", "name"])
         since = F.unix_micros(end) - F.col("_window").cast("long") * 60_000_000
         return pairs.filter(F.unix_micros(at) >= since).drop(time_col)
 

@@ -1,9 +1,9 @@
 """Exact, linearly interpolated percentiles per group.
 
-Spark's own `percentile` keeps every distinct value of a group in one task.  That is the
-right choice for input of a checked, small size.  Beyond it, the exact value is found in
-two narrow passes: a log-scaled histogram locates the bucket that holds each wanted rank,
-then only the rows of those buckets are counted value by value.
+Spark's own `percentile` keeps every distinct value of a group in one task.  Here, for input
+of any size, the exact value is found in two narrow passes: a log-scaled histogram locates the
+bucket that holds each wanted rank, then only the rows of those buckets are counted value by
+value.
 """
 
 from __future__ import annotations
@@ -13,15 +13,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalfold.scale import SINGLE_PASS_BYTES, input_bytes, null_safe_join
+from signalfold.scale import null_safe_join
 
 # Buckets per factor e; a bucket spans 0.4 % of its value.
 BUCKETS_PER_E = 256
 
 
 def _bucket(value: Column) -> Column:
-    magnitude = F.floor(F.log1p(F.abs(value.cast("double"))) * BUCKETS_PER_E)
-    return (F.signum(value.cast("double")) * magnitude).cast("long")
+    """Number of a value's bucket, ascending with the value; NaN counts as the largest value.
+
+    Logarithms of finite doubles lie between -745 and 710, so the shifted magnitude is positive
+    and every magnitude, however small, has buckets of the same relative width.
+    """
+    v = value.cast("double")
+    magnitude = F.floor(F.ln(F.abs(v)) * BUCKETS_PER_E) + 200_000
+    infinite = F.abs(v) == F.lit(float("inf"))
+    return (
+        F.when(F.isnan(v), F.lit(1_000_000))
+        .when(v == 0, F.lit(0))
+        .when(infinite, F.signum(v).cast("long") * 900_000)
+        .otherwise(F.signum(v).cast("long") * magnitude)
+        .cast("long")
+    )
 
 
 def rank_percentiles(
@@ -57,7 +70,8 @@ def rank_percentiles(
         .select(*keys, "_b", "_before", "_ranks", "_total")
     )
     # Pass 2: only rows of the wanted buckets, pre-counted per distinct value.
-    counts = rows.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
+    inner = null_safe_join(rows, wanted.select(*keys, "_b"), [*keys, "_b"], "left_semi")
+    counts = inner.groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
     hits = null_safe_join(counts, wanted, [*keys, "_b"])
     inside = (
         Window.partitionBy(*keys, "_b")
@@ -98,19 +112,14 @@ def aggregate_with_percentiles(
     sums: Mapping[str, Column],
     labels: Sequence[str] = (),
     name: str = "q",
-    single_pass_bytes: int = SINGLE_PASS_BYTES,
 ) -> DataFrame:
     """Per group: aggregates that add up, one value of each label, exact percentiles of `value`.
 
     A label (text that is the same for a whole group, or any of its values) cannot live in the
-    buffer of a hash aggregate.  For large input it therefore becomes a grouping column first,
-    which keeps the pass over the rows free of sorting.
+    buffer of a hash aggregate.  It therefore becomes a grouping column first, which keeps the pass over the rows free of sorting.
     """
     totals = [expr.alias(column) for column, expr in sums.items()]
     smallest = [F.min(column).alias(column) for column in labels]
-    if input_bytes(df) <= single_pass_bytes:
-        points = F.percentile(F.col(value), [float(p) for p in probs])
-        return df.groupBy(*keys).agg(*smallest, *totals, points.alias(name))
     base = df.groupBy(*keys, *labels).agg(*totals)
     if labels:
         base = base.groupBy(*keys).agg(*smallest, *[F.sum(c).alias(c) for c in sums])

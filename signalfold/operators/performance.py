@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalfold.operators.percentiles import aggregate_with_percentiles
-from signalfold.scale import SINGLE_PASS_BYTES, clamp, scoped, top_per_project, utc
+from signalfold.scale import clamp, scoped, top_per_project, utc
 
 DEFAULT_APDEX_T = 0.5
 NS_PER_MS = 1e6
@@ -90,7 +90,6 @@ def transactions(
     environment: str = "",
     project_id: int | None = None,
     limit: int = 50,
-    single_pass_bytes: int = SINGLE_PASS_BYTES,
 ) -> DataFrame:
     """Endpoints (segment spans by name): volume, latency percentiles, failures, Apdex."""
     order = transaction_order(sort)
@@ -102,7 +101,6 @@ def transactions(
         [0.5, 0.75, 0.95, 0.99],
         {"count": F.count("*"), ERRORS: failures(), **apdex_counts("duration_ns", apdex_t)},
         labels=["op", "service"],
-        single_pass_bytes=single_pass_bytes,
     )
     minutes = window_minutes(start, end)
     rows = grouped.select(
@@ -167,7 +165,6 @@ def slow_queries(
     environment: str = "",
     project_id: int | None = None,
     limit: int = 50,
-    single_pass_bytes: int = SINGLE_PASS_BYTES,
 ) -> DataFrame:
     """Database statements by total time."""
     grouped = aggregate_with_percentiles(
@@ -177,7 +174,6 @@ def slow_queries(
         [0.95],
         {"count": F.count("*"), "_total": F.sum("duration_ns")},
         labels=["db_system"],
-        single_pass_bytes=single_pass_bytes,
     )
     rows = grouped.select(
         "project_id",
@@ -254,7 +250,6 @@ def compare_releases(
     environment: str = "",
     project_id: int | None = None,
     limit: int = 50,
-    single_pass_bytes: int = SINGLE_PASS_BYTES,
 ) -> DataFrame:
     """Endpoints present in both recent releases, worst p95 change first."""
     pair = recent_releases(spans, start, end, environment, project_id).select(
@@ -273,7 +268,6 @@ def compare_releases(
         [0.95],
         {"n": F.count("*"), ERRORS: failures()},
         labels=["release"],
-        single_pass_bytes=single_pass_bytes,
     )
     stats = stats.withColumn("p95", to_ms(F.col("q")[0])).withColumn("fail", F.col(ERRORS) / F.col("n"))
 

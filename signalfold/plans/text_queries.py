@@ -21,7 +21,7 @@ from signalfold.operators.symbolicate import (
 )
 from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
-from signalfold.scale import spread_if_small, work_dir
+from signalfold.scale import work_dir
 
 # White space and word edges as RE2 writes them.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -75,7 +75,7 @@ FROM joined
 
 def text_table(spark, d, name):
     """A table whose rows cost much more to work on than to read."""
-    return spread_if_small(table(spark, d, name))
+    return table(spark, d, name)
 
 
 # --- scrub ---------------------------------------------------------------------------------------
@@ -532,7 +532,7 @@ def _maps(spark, d):
     )
     maps = points.groupBy("artifact_key").applyInPandas(_write_map, "artifact_key string, content binary")
     path = work_dir(spark, "maps")
-    spread_if_small(maps).write.parquet(path)
+    maps.write.parquet(path)
     return spark.read.parquet(path)
 
 

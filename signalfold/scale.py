@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Input up to this size may use single-pass operators whose per-group state grows with the group.
-SINGLE_PASS_BYTES = 256 << 20
 # A side is hinted for broadcast only when its own files are no larger than this.
 BROADCAST_BYTES = 8 << 20
 
@@ -46,17 +44,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if input_bytes(df) <= limit else df
 
 
-def spread_if_small(df: DataFrame) -> DataFrame:
-    """Spread costly per-row work over all cores when the input has too few splits for that.
-
-    A small file is often one row group and hence one task.  Large input has splits enough
-    and must not be shuffled for this, so the size is checked.
-    """
-    if input_bytes(df) > SINGLE_PASS_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder of spark.checkpoint.dir, or of the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
@@ -83,15 +70,19 @@ def time_literal(df: DataFrame, name: str, value: datetime | str) -> Column:
 
 
 def in_window(df: DataFrame, start=None, end=None, time_col: str = "timestamp") -> DataFrame:
-    """Half-open time range; also prunes `day` partitions, which a time range alone does not."""
+    """Half-open time range; also prunes `day` and `month` partitions, which a time range alone does not."""
     if start is not None:
         df = df.filter(F.col(time_col) >= time_literal(df, time_col, start))
         if "day" in df.columns:
             df = df.filter(F.col("day") >= F.lit(utc(start).date()))
+        if dict(df.dtypes).get("month") == "date":
+            df = df.filter(F.col("month") >= F.lit(utc(start).date().replace(day=1)))
     if end is not None:
         df = df.filter(F.col(time_col) < time_literal(df, time_col, end))
         if "day" in df.columns:
             df = df.filter(F.col("day") <= F.lit(utc(end).date()))
+        if dict(df.dtypes).get("month") == "date":
+            df = df.filter(F.col("month") <= F.lit(utc(end).date()))
     return df
 
 
@@ -107,7 +98,10 @@ def scoped(
 
 
 def clamp(value: int, high: int) -> int:
-    return min(max(value, 1), high)
+    """A page size of at least 1; one above the maximum is an error, not silently a smaller page."""
+    if value > high:
+        raise ValueError(f"limit {value} is above the maximum of {high}")
+    return max(value, 1)
 
 
 def top_per_project(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from signalfold.operators import issues, throttle
+from signalfold.operators import alerts, issues, rollups, throttle
 from signalfold.operators.percentiles import aggregate_with_percentiles, rank_percentiles
 
 T0 = datetime(2024, 1, 1)
@@ -24,29 +24,40 @@ def test_percentiles_match_numpy(spark):
             by_key.setdefault(k, []).append(v)
     want = {k: np.quantile(v, probs) for k, v in by_key.items()}
     for got in (rank_percentiles(df, ["k"], "v", probs),
-                aggregate_with_percentiles(df, ["k"], "v", probs, {"n": F.count("*")}, single_pass_bytes=0),
-                aggregate_with_percentiles(df, ["k"], "v", probs, {"n": F.count("*")}, single_pass_bytes=1 << 40)):
+                aggregate_with_percentiles(df, ["k"], "v", probs, {"n": F.count("*")})):
         got = {r.k: r.q for r in got.collect()}
         assert set(got) == set(want)
         for k in want:
             assert np.allclose(got[k], want[k], rtol=1e-12), k
 
 
-def test_large_input_path_of_transactions(spark):
-    from signalfold.operators import performance as perf
-
-    rng = random.Random(3)
-    rows = [(1 + i % 2, rng.choice(["a", "b"]), rng.choice(["x", "y"]), "s", T0, rng.randrange(10**9), rng.choice(["ok", "error"]), True, "prod", f"r{i % 3}", "db.query", f"q{i % 4}", "pg") for i in range(3000)]
-    df = spark.createDataFrame(rows, "project_id long, name string, op string, service string, timestamp timestamp, duration_ns long, status string, is_segment boolean, environment string, release string, _op string, db_statement string, db_system string")
-    queries = df.withColumn("op", F.col("_op"))
-    for build in (lambda n: perf.transactions(df, "2023-01-01", "2025-01-01", single_pass_bytes=n), lambda n: perf.slow_queries(queries, "2023-01-01", "2025-01-01", single_pass_bytes=n), lambda n: perf.compare_releases(df, "2023-01-01", "2025-01-01", single_pass_bytes=n)):
-        large, small = build(0), build(1 << 40)
-        key = [c for c, t in small.dtypes if t in ("string", "bigint")]
-        large, small = large.orderBy(*key).collect(), small.orderBy(*key).collect()
-        assert len(large) == len(small) > 0
-        for a, b in zip(large, small):
-            for x, y in zip(a, b):
-                assert x == y or abs(x - y) < 1e-9 * max(abs(x), abs(y))
+def test_percentiles_of_tiny_and_odd_values(spark):
+    from signalfold.operators.percentiles import _bucket
+
+    tiny = spark.range(100_000).select(F.lit("tiny").alias("k"), (F.col("id") / 25_641_026.0).alias("v"))
+    odd = spark.createDataFrame([("odd", x) for x in (float("nan"), 1.0, 2.0, float("inf"), -float("inf"), 0.0, -1e-300, 5e-324)], "k string, v double")
+    df = tiny.unionByName(odd)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r.q for r in rank_percentiles(df, ["k"], "v", probs).collect()}
+    want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()}
+    for k in want:
+        assert np.allclose(got[k], want[k], rtol=1e-12, equal_nan=True), k
+    assert tiny.select(_bucket(F.col("v"))).distinct().count() > 1000  # one bucket with log1p
+    ordered = [r.v for r in odd.orderBy("v").collect()]
+    assert [r.v for r in odd.orderBy(_bucket(F.col("v")), "v").collect()][:-1] == ordered[:-1]
+
+
+def test_metric_rules_reach_beyond_a_quarter(spark):
+    kinds = "rule_id long, project_id long, name string, kind string, enabled boolean, throttle_seconds int, conditions string, channels string"
+    rule = '{"metric_name": "m", "agg": "sum", "operator": "gte", "value": 1, "window_minutes": 216000}'
+    rules = spark.createDataFrame([(1, 1, "r", "metric", True, 60, rule, "[]")], kinds)
+    raw = spark.createDataFrame(
+        [(1, T0.replace(month=1), "m", "gauge", "", {}, 5.0), (1, T0.replace(month=4), "m", "gauge", "", {}, 7.0)],
+        "project_id long, timestamp timestamp, name string, type string, unit string, tags map<string,string>, value double",
+    )
+    minutes = rollups.metrics_1m(raw)
+    got = alerts.observed_metrics(minutes, rollups.metrics_1h(minutes), alerts.parse_rules(rules), T0.replace(month=5))
+    assert [r["observed"] for r in got.collect()] == [12.0]
 
 
 def brute_fires(times, gap, last):
