@@ -8,8 +8,12 @@ short lists, which are merged, and is then probed on the long ones by binary sea
 Copies of one shingle set are one representative.  Blocks of documents learn which of their short
 lists hold any second document; a document with too few such lists has no partner and is done.
 In the lists that are left only a few pivots are queries at first, so a list costs its length, not
-its square: members linked to a pivot join its component, and only members of lists that still
-hold different components are queries again.
+its square; the first pivot is the member with the fewest shingles of its own, the middle of its
+group.  Members linked to a pivot join its component.  Only members of lists that still hold
+different components are queries again, and then by what can link them: shingles that documents
+of several components hold.  Who has too few of those is done, the others have few short lists.
+Documents around one pivot share nearly all, which tells nothing, so they are searched by what
+sets them apart: their differences from the shingles that most of them hold.
 """
 
 from __future__ import annotations
@@ -133,7 +137,10 @@ def _common(signed: DataFrame, share: float = 0.002) -> tuple[np.ndarray, np.nda
 
 
 def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, common, counts, width: int, percent: int) -> DataFrame:
-    """Representatives that may have a partner: doc_id, n, their shared short lists and their whole set."""
+    """Representatives that may have a partner: doc_id, n, their shared short lists and their whole set.
+
+    `own` is the share of their shingles that are short lists of no other document.
+    """
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
     dealt = docs.withColumn("block", block).repartition("block")
     wanted = reps.withColumnRenamed("rep", "doc_id").select(block.alias("block"), "doc_id")
@@ -200,43 +207,125 @@ def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, commo
                 lists = tokens[mine[shared[mine]]]
                 # The smallest possible partner asks for the fewest common lists.
                 if len(lists) >= needed(least_shared(len(whole), percent)):
-                    found.append((doc_id, len(whole), lists.view(np.int64), np.sort(whole.view(np.int64))))
-        columns = list(zip(*found, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n", "lists", "tokens"])
+                    own = (len(mine) - len(lists)) / len(whole)
+                    found.append((doc_id, len(whole), own, lists.view(np.int64), np.sort(whole.view(np.int64))))
+        columns = list(zip(*found, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n", "own", "lists", "tokens"])
 
     left = dealt.groupBy("block")
     sent = left.cogroup(wanted.groupBy("block")).applyInArrow(send, "shard long, block long, tokens binary, twice binary")
     answers = sent.groupBy("shard").applyInArrow(count, "block long, doc_id long, shard long, bits binary")
     right = answers.unionByName(wanted.withColumns({"shard": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}))
-    return left.cogroup(right.groupBy("block")).applyInArrow(keep, "doc_id long, n long, lists array<long>, tokens array<long>")
+    return left.cogroup(right.groupBy("block")).applyInArrow(keep, "doc_id long, n long, own double, lists array<long>, tokens array<long>")
+
 
+def _open_sets(left: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
+    """Documents that may still link to another component: doc_id, n, component, ref, s, lists.
 
-def _candidates(postings: DataFrame, full: bool) -> DataFrame:
+    Such a document is on a list that holds several components, and what it shares with a
+    partner there are shingles that are found in several components: `lists`, s of its n shingles,
+    as structs (size, token), the rarest first.  `ref` is the pivot of most of its open lists.
+    """
+    several = F.min("component").alias("low"), F.max("component").alias("high")
+    pivot = F.min(F.struct("own", "doc_id"))["doc_id"].alias("pivot")
+    mixed = postings.groupBy("token").agg(*several, pivot).where("low <> high").select("token", "pivot")
+    open_ = postings.join(mixed, "token").groupBy("doc_id", "component").agg(F.mode("pivot", True).alias("ref"))
+    whole = stored(left.join(open_, "doc_id").select("doc_id", "n", "component", "ref", F.explode("tokens").alias("token")), "open")
+    shared = whole.groupBy("token").agg(*several, F.count("*").alias("size")).where("low <> high").select("token", "size")
+    lists = F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists")
+    sets = whole.join(shared, "token").groupBy("doc_id", "n", "component", "ref").agg(lists)
+    return sets.withColumn("s", F.size("lists").cast("long")).where(100 * F.col("s") >= percent * F.col("n"))
+
+
+def _differences(sets: DataFrame) -> DataFrame:
+    """Adds to open sets: core, missing and extra.
+
+    `core` has the shingles that more than half of the documents of a `ref` hold; a document has
+    `extra` ones beside it and misses some.  Where it holds less of the core than it differs, all
+    of these and its ref are null: then its differences tell no more than its shingles.
+    """
+    size = sets.groupBy("ref").agg(F.count("*").alias("members"))
+    held = sets.select("ref", F.explode("lists.token").alias("token")).groupBy("ref", "token").agg(F.count("*").alias("times"))
+    core = held.join(size, "ref").where("2 * times > members").groupBy("ref").agg(F.collect_list("token").alias("core"))
+    near = sets.join(core, "ref", "left").withColumns({
+        "missing": F.array_except("core", "lists.token"), "extra": F.array_except("lists.token", "core"),
+    })
+    close = F.size("missing") + F.size("extra") <= F.size("core") - F.size("missing")
+    return near.withColumns({c: F.when(close, F.col(c)) for c in ("ref", "core", "missing", "extra")})
+
+
+def _pairs_around_refs(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one ref and different components that link, by their differences.
+
+    Of a core of c shingles x and y share c - missing(x) - missing(y) + o, where o counts the
+    differences they have in common.  So they link when w(x) + w(y) <= (100 + percent) * (c + o),
+    with w = percent * n + (100 + percent) * missing.  Pairs for which o = 0 is enough all link to
+    the document of the least w as well, and that star replaces them; other pairs have a
+    difference in common, and counting those gives o.
+    """
+    whole = 100 + percent
+    docs = near.where("ref is not null").select(
+        "ref", "doc_id", "component", F.size("core").alias("c"), F.size("missing").alias("m"), F.size("extra").alias("e"),
+        (percent * F.col("n") + whole * F.size("missing")).alias("w"), "missing", "extra",
+    )
+    middle = docs.groupBy("ref").agg(F.min(F.struct("w", "doc_id", "component")).alias("mid"))
+    star = docs.join(middle, "ref").where((F.col("component") != F.col("mid.component")) & (F.col("w") + F.col("mid.w") <= whole * F.col("c")))
+    facts = ["ref", "doc_id", "component", "c", "m", "e", "w"]
+    apart = docs.select(*facts, F.lit(False).alias("has"), F.explode("missing").alias("token")).unionByName(
+        docs.select(*facts, F.lit(True).alias("has"), F.explode("extra").alias("token"))
+    )
+    other = apart.select("ref", "has", "token", *[F.col(x).alias(f"{x}2") for x in ("doc_id", "component", "m", "e", "w")])
+    both, most = F.col("w") + F.col("w2"), F.least("m", "m2") + F.least("e", "e2")
+    open_ = (F.col("doc_id") < F.col("doc_id2")) & (F.col("component") != F.col("component2"))
+    met = apart.join(other, ["ref", "has", "token"]).where(open_ & (both > whole * F.col("c")) & (both <= whole * (F.col("c") + most)))
+    shared = met.groupBy(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b"), (both - whole * F.col("c")).alias("lacks")).count()
+    found = shared.where(whole * F.col("count") >= F.col("lacks")).select("a", "b")
+    return found.unionByName(star.select(F.least("doc_id", "mid.doc_id").alias("a"), F.greatest("doc_id", "mid.doc_id").alias("b")))
+
+
+def _short_of_open(near: DataFrame, percent: int) -> DataFrame:
+    """The short lists of open sets: a link takes `least_shared(n)` of the s shingles, the rest counts no more."""
+    least = F.ceil(percent * F.col("n") / 100)
+    take = F.col("s") - least + 1 + F.floor(F.col("n") / 20)  # as in `needed`
+    return near.select("doc_id", "n", "s", "component", "ref", F.explode(F.slice("lists", F.lit(1), take.cast("int"))["token"]).alias("token"))
+
+
+def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a < b, of documents of different components that share enough short lists.
 
-    `postings` has doc_id, n, token and component.  First every list has a few pivots (its least
-    members in as many orders), each of which meets all members; such lists are not all those of
-    a pair, so one is enough.  With `full`, members meet those of other components in what lists
-    still hold several; then all common lists of a pair are there and the bound applies.
+    `postings` has doc_id, n, s (shingles that a partner can hold), token and component, without
+    `full` also own.  First every list has a few pivots (its least members in as many orders),
+    each of which meets all members; such lists are not all those of a pair, so one is enough.
+    With `full`, members meet those of other components and another ref in what lists still hold
+    several; then all common lists of a pair are there and the bound applies.
     """
     aggregates = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")]
-    if not full:
-        orders = [F.xxhash64("doc_id", F.lit(i)) if i else F.col("doc_id") for i in range(PIVOTS)]
-        aggregates += [F.min(F.struct(o.alias("turn"), "doc_id", "n")).alias(f"p{i}") for i, o in enumerate(orders)]
+    if full:
+        aggregates.append(F.mode("ref", True).alias("most"))
+    else:
+        orders = [F.col("own"), *(F.xxhash64("doc_id", F.lit(i)) for i in range(1, PIVOTS))]
+        aggregates += [F.min(F.struct(o.alias("turn"), "doc_id", "n", "s")).alias(f"p{i}") for i, o in enumerate(orders)]
     lists = postings.groupBy("token").agg(*aggregates).where("low <> high")
-    member = postings.select("token", "doc_id", "component", "n")
+    member = postings.select("token", "doc_id", "component", "n", "s", *(["ref"] if full else []))
     if full:
-        query = member.join(lists.select("token", "size"), "token").select(
-            "token", "size", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq")
+        # Members of the ref that most of a list have do not meet each other here.
+        query = member.join(lists.select("token", "size", "most"), "token").where(~F.col("ref").eqNullSafe(F.col("most")) | F.col("most").isNull())
+        query = query.select(
+            "token", "size", "most", F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("s").alias("sq"),
+            F.col("component").alias("cq"), F.col("ref").alias("rq"),
         )
-        other = (F.col("cq") != F.col("component")) & (F.col("q") < F.col("doc_id"))
+        once = (F.col("q") < F.col("doc_id")) | F.coalesce(F.col("ref") == F.col("most"), F.lit(False))
+        other = (F.col("cq") != F.col("component")) & once & ~F.coalesce(F.col("rq") == F.col("ref"), F.lit(False))
     else:
-        all_ = F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n") for i in range(PIVOTS)])
+        all_ = F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n", f"p{i}.s") for i in range(PIVOTS)])
         pivots = F.array_distinct(F.slice(all_, F.lit(1), F.least(F.lit(PIVOTS), F.ceil(F.log2("size")).cast("int"))))
-        query = lists.select("token", "size", F.explode(pivots).alias("p")).select("token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"))
+        query = lists.select("token", "size", F.explode(pivots).alias("p")).select(
+            "token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"), F.col("p.s").alias("sq")
+        )
         other = F.col("q") != F.col("doc_id")
-    sized = (100 * F.col("n") >= PERCENT * F.col("nq")) & (100 * F.col("nq") >= PERCENT * F.col("n"))
+    # No more than min(s) of the shingles can be shared; this holds the sizes together as well.
+    sized = (100 + percent) * F.least("s", "sq") >= percent * (F.col("n") + F.col("nq"))
     met = member.join(query, "token").where(other & sized)
     # A query with long lists is dealt out by its partners, so that none is merged in one task.
     salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("size") / 300).cast("int")))
@@ -313,12 +402,14 @@ def near_duplicates(
     named = base.where("doc_id is not null")
     left = stored(_survivors(named, reps.select("rep").distinct(), size // block_bytes + 1, shards, common, counts, width, percent), "survivors")
     sets = left.select("doc_id", "tokens")
-    postings = left.select("doc_id", "n", F.explode("lists").alias("token"))
-    pairs = stored(_candidates(postings.withColumn("component", F.col("doc_id")), full=False), "pairs")
+    postings = left.select("doc_id", "n", "own", F.explode("lists").alias("token"))
+    pairs = stored(_candidates(postings.withColumns({"component": F.col("doc_id"), "s": F.col("n")}), full=False, percent=percent), "pairs")
     links = stored(_linked(pairs, sets, percent), "links")
     known = components(links)
     now = postings.join(known, F.col("doc_id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id"))
-    pairs = stored(_candidates(now, full=True).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    near = stored(_differences(stored(_open_sets(left, now, percent), "open-sets")), "near")
+    again = _candidates(_short_of_open(near, percent), full=True, percent=percent).unionByName(_pairs_around_refs(near, percent))
+    pairs = stored(again.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = stored(_linked(pairs, sets, percent), "links")
     if not more.isEmpty():
         known = components(links.unionByName(more))

@@ -85,6 +85,43 @@ def test_near_duplicates(docs, empty):
     assert tsearch.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_duplicates_of_large_groups(spark, seed):
+    """Groups whose members are on both sides of the threshold, some sharing their changes."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    texts = []
+    for size, n in ((150, 160), (90, 60), (40, 300)):
+        base = [word() for _ in range(n)]
+        fixes = [(rng.randrange(n), word()) for _ in range(12)]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rng.randint(0, n // 25)):
+                words[rng.randrange(n)] = word()
+            for at, new in rng.sample(fixes, rng.randint(0, 3)):
+                words[at] = new
+            texts.append(" ".join(words[: n - rng.randint(0, n // 10)]))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in zip(ids, texts, strict=True) for w in [t.split(" ")]}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in tsearch.near_duplicates(docs, block_bytes=20_000).collect()}
+    assert got == {i: root(i) for i in sets}
+    assert 20 < len(set(got.values())) < len(got) - 20  # the fixture has both cases
+
+
 def test_merge_and_probe():
     rng = np.random.default_rng(1)
     for _ in range(50):
