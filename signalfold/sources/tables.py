@@ -87,6 +87,8 @@ def partition_dates(spark: SparkSession, path: str, name: str) -> dict[date, str
     column = TABLES[name].partition
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
     folders = [s.getPath().toString() for s in fs.listStatus(root) if s.isDirectory()]
     prefix = f"{column}="
     return {
