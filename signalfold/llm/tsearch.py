@@ -298,7 +298,8 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
     `full` also own.  First every list has a few pivots (its least members in as many orders),
     each of which meets all members; such lists are not all those of a pair, so one is enough.
     With `full`, members meet those of other components and another ref in what lists still hold
-    several; then all common lists of a pair are there and the bound applies.
+    several; then all common lists of a pair are there and the bound applies to their sum: the
+    lists of one pair may be merged in several tasks, and with either side as the query.
     """
     aggregates = [F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")]
     if full:
@@ -333,14 +334,12 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "token", "b")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(query: int, na: int, lists: list[list[int]], sizes: dict[int, int]) -> list[tuple[int, int]]:
-            if not full:
-                return [(query, b) for b, _ in merge_short(lists, 1)]
-            return [(query, b) for b, k in merge_short(lists, 1) if k >= min(needed(na), needed(sizes[b]))]
+        def answer(query: int, na: int, lists: list[list[int]], sizes: dict[int, int]) -> list[tuple[int, int, int, int]]:
+            return [(query, b, k, min(needed(na), needed(sizes[b]))) for b, k in merge_short(lists, 1)]
 
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True) if pairs else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(list(a), pa.int64()), pa.array(list(b), pa.int64())], names=["a", "b"])
+        def out(pairs: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+            columns = list(zip(*pairs, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "lists", "need"])
 
         query, na, token, lists, sizes, done = None, 0, None, [], {}, []
         for batch in batches:
@@ -359,8 +358,11 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
         if lists:
             yield out(answer(query, na, lists, sizes))
 
-    found = rows.mapInArrow(merge, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = rows.mapInArrow(merge, "a long, b long, lists long, need long")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lists", "need")
+    if not full:
+        return found.select("a", "b").distinct()
+    return found.groupBy("a", "b", "need").agg(F.sum("lists").alias("lists")).where("lists >= need").select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

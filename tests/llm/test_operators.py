@@ -122,6 +122,37 @@ def test_near_duplicates_of_large_groups(spark, seed):
     assert 20 < len(set(got.values())) < len(got) - 20  # the fixture has both cases
 
 
+def test_common_lists_of_a_pair_are_summed(spark):
+    """Pairs on 6 lists of several lengths, each of over 600 members; the members besides are of one component."""
+    rows, other = [], 1000
+    for token, size in enumerate((650, 700, 1250, 1300, 1900, 2000)):
+        rows += [(i, 100, 100, i, None, token) for i in range(20)]
+        rows += [(other + i, 100, 100, 999, None, token) for i in range(size)]
+        other += size
+    columns = "doc_id long, n long, s long, component long, ref long, token long"
+    postings = spark.createDataFrame(rows, columns)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would meet in one task
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = sorted(map(tuple, tsearch._candidates(postings, full=True).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == list(itertools.combinations(range(20), 2))
+
+
+def test_common_lists_of_a_pair_with_two_refs_are_summed(spark):
+    """Each of the two is the query on 3 of the lists, since most of a list have the ref of the other one."""
+    rows, other = [], 1000
+    for token in range(6):
+        rows += [(i, 100, 100, i, i + 50, token) for i in range(2)]
+        rows += [(other + i, 100, 100, 999, 50 + token % 2, token) for i in range(10)]
+        other += 10
+    columns = "doc_id long, n long, s long, component long, ref long, token long"
+    got = tsearch._candidates(spark.createDataFrame(rows, columns), full=True)
+    assert list(map(tuple, got.collect())) == [(0, 1)]
+
+
 def test_merge_and_probe():
     rng = np.random.default_rng(1)
     for _ in range(50):
