@@ -129,17 +129,16 @@ def normalise(text: str | None) -> bytes:
 def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     """Matches (from, to, rule) left after suppression, in order of place.
 
-    Rules apply in order of priority.  A match that lies inside an accepted one is dropped; a
-    match that contains weaker accepted ones cannot occur, since the stronger came first, and
-    partly overlapping matches stay.
+    Matches are accepted in order of priority, within one priority the longest first.  A match
+    that lies inside an accepted one is dropped; a longer match of a weaker rule leaves the
+    accepted ones in it, and partly overlapping matches stay.
     """
     opened = sorted({i for k, numbers in _by_keyword() if k in words for i in numbers})
+    found = [(m.start(), m.end(), rules()[i]) for i in opened for m in rules()[i].pattern.finditer(words)]
     kept: list[tuple[int, int, Rule]] = []
-    for i in opened:
-        rule = rules()[i]
-        for m in rule.pattern.finditer(words):
-            if not any(a <= m.start() and m.end() <= b for a, b, _ in kept):
-                kept.append((m.start(), m.end(), rule))
+    for start, end, rule in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1])):
+        if not any(a <= start and end <= b for a, b, _ in kept):
+            kept.append((start, end, rule))
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 

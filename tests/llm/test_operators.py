@@ -326,6 +326,22 @@ def test_licenses(spark, empty):
         assert all(any(g in k for g in licenses.GATE) for k in rule.keywords) or any(g in rule.pattern.pattern for g in licenses.GATE)
 
 
+@pytest.mark.parametrize(
+    "text, base, labels",
+    [
+        ("GNU Lesser General Public License", "", "lgpl"),
+        ("GNU Lesser General Public License version 3", "", "lgpl-3"),
+        ("LGPL v2.1", "", "lgpl-2.1"),
+        ("MPL 1.1", "", "mpl-1.1"),
+        ("CC BY-NC-SA", "cc-by", "cc-by,cc-by-nc-sa"),
+        ("MPL 1.1 or MPL 1", "", "mpl-1,mpl-1.1"),
+    ],
+)
+def test_shorter_license_names_inside_longer_ones(text, base, labels):
+    assert licenses.scan(text)[4:6] == (base, labels)
+    assert len(licenses.detections(licenses.normalise(text))) == 1 + text.count(" or ")
+
+
 def test_line_templates(spark, docs, empty, tmp_path):
     boiler = "Copyright {} by the authors of this page"
     own = [(i, f"first line of {chr(97 + i)}{chr(98 + i)} is here and long enough to be most\n{boiler.format(i)}\n") for i in range(8)]
