@@ -194,7 +194,7 @@ def _(spark, d):
 def _(spark, d):
     folded = issues(spark, d)
     wanted = folded.agg(F.max("id")).scalar()
-    return folded.filter(F.col("id") == wanted).select(
+    return iss.get_issue(folded, wanted).select(
         "id", "project_id", "group_hash", "title", "level", "first_seen", "first_release"
     )
 

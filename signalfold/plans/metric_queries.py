@@ -165,11 +165,12 @@ UNION ALL
 SELECT project_id, name, 0, count(DISTINCT date_trunc('hour', timestamp)) FROM fx_metrics GROUP BY ALL""",
 )
 def _(spark, d):
-    raw = metrics(spark, d)
+    minutes = roll.metrics_1m(metrics(spark, d))
+    states = {"1m": minutes, "1h": roll.metrics_1h(minutes)}
 
     def points(start, end):
         rollup = met.rollup_for(start, end)
-        line = met.series(raw, "count", start, end, rollup=rollup)
+        line = met.series(states[rollup], "count", start, end, rollup=rollup)
         return line.groupBy("project_id", "name").agg(F.count("*").alias("n"))
 
     zero = F.lit(0).cast("long")
