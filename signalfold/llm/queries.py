@@ -176,3 +176,32 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+OP13_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda crc, e: CASE WHEN e >= 0 THEN xor(crc, e) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295), 4294967295) AS h
+  FROM documents),
+g AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a, (h // 10) % 8 AS r FROM w),
+x AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + r)) END]) ELSE ws END AS ws FROM g),
+word AS (SELECT doc_id, n, unnest(ws) AS x, unnest(range(n)) AS i FROM x),
+pair AS (SELECT u.doc_id, v.i - u.i AS q, u.i FROM word u JOIN word v ON v.doc_id = u.doc_id AND v.x = u.x AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+island AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM island GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT * FROM stretch z WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = z.doc_id AND y.q < z.q AND y.s <= z.s AND y.s + y.l >= z.s + z.l)),
+dig AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(l := l, s := -s, q := -q)) AS top, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM run),
+kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.i) FILTER (gone.i IS NULL) AS t FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(-top.q AS BIGINT) AS period,
+  CAST(1000 * top.l // -top.q AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words
+FROM x LEFT JOIN dig ON dig.doc_id = x.doc_id LEFT JOIN kept ON kept.doc_id = x.doc_id
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from signalfold.llm.periodic_runs import periodic_runs, planted_words, run_digest
+
+    return run_digest(periodic_runs(table(spark, sf_dir, "documents"), read_words=planted_words))
