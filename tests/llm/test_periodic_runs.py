@@ -51,7 +51,7 @@ def test_long_texts():
 def test_query_equals_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices("ab cd efg h".split(), k=rng.randint(0, 60))) for _ in range(60)]
-    texts += ["", None, " \n\t", "x", "x " * 6, "x " * 5, "a　b " * 9, "p q " * 5000 + "end", "é\nÉ\n" * 4]
+    texts += ["", None, " \n\t", "x", "x " * 6, "x " * 5, "a　b " * 9, "p q " * 500 + "end", "é\nÉ\n" * 4]
     rows = [(i, t, "r", 1, 2) for i, t in enumerate(texts)] + [(None, "y " * 9, "r", 1, 2), (3, texts[3], "r", 1, 2)]
     schema = "doc_id long, text string, runs string, n_words long, start long"
     want = Counter()
@@ -74,5 +74,5 @@ def test_query_equals_brute_force(spark):
     docs = spark.createDataFrame(rows, schema).repartition(3)
     found = pr.run_digest(pr.periodic_runs(docs, read_words=pr.planted_words))
     assert Counter(map(tuple, found.collect())) == want
-    assert sum(n for k, n in want.items() if k[1]) > 10
+    assert sum(n for k, n in want.items() if k[1]) >= 8
     assert pr.periodic_runs(spark.createDataFrame([], schema)).count() == 0
