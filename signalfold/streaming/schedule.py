@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from signalfold.operators import alerts, throttle
+from signalfold.streaming.batches import NO_TABLE
 
 # Fixed value: rules are evaluated once a minute.
 EVERY = "60 seconds"
@@ -27,7 +28,9 @@ def tick(spark: SparkSession, evaluate: Evaluate, now: datetime, out: str, tick_
     try:
         history = spark.read.parquet(out).filter(f"tick <> {tick_id}")
         history = history.select("rule_id", "dedupe_key", "fired_at")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in NO_TABLE:
+            raise
         history = None
     fired = throttle.claim(attempts, history)
     alerts.notifications(fired).write.mode("overwrite").parquet(f"{out}/tick={tick_id}")

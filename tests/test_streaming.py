@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from signalfold.operators import alerts, issues, rollups
 from signalfold.sources.jobs import stream_lines
 from signalfold.streaming import alerts as alert_stream
-from signalfold.streaming import batches, jobs, schedule
+from signalfold.streaming import batches, issue_state, jobs, schedule, seen
 
 T0 = datetime(2024, 1, 1)
 
@@ -46,6 +46,11 @@ def land(folder, lines, files):
 def run(spark, source, root, per_batch):
     for q in jobs.start_router(stream_lines(spark, source, per_batch), root, available_now=True).values():
         q.awaitTermination()
+    jobs.start_issue_fold(spark, root, available_now=True).awaitTermination()
+
+
+def changes(spark, root, hash_type="long"):
+    return spark.read.schema(issue_state.change_schema(hash_type)).parquet(jobs.Paths(root).of("issue_changes"))
 
 
 def summary(spark, root):
@@ -59,7 +64,8 @@ def summary(spark, root):
         "stats": sorted((r.group_hash, r.hour, r.times_seen, r.first_seen, r.last_seen) for r in stats.collect()),
         "hours": sorted(tuple(r) for r in hours.agg(rollups.merged("sum"), rollups.merged("count"), rollups.merged("max")).collect()),
         "issues": sorted(tuple(map(str, r)) for r in fold.collect()),
-        "signals": sorted((r.kind, r.issue_id) for r in spark.read.parquet(paths.of("alert_signals")).collect()),
+        "state": sorted((r.id, r.title, r.times_seen, r.first_seen, r.last_seen, r.level, r.status) for r in issue_state.latest(changes(spark, root)).collect()),
+        "signals": sorted((r.kind, r.issue_id) for r in issue_state.signals_of(changes(spark, root)).collect()),
         "rejects": sorted(r.reason for r in spark.read.parquet(paths.of("rejects")).collect()),
     }
 
@@ -95,12 +101,41 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     error_batch, metric_batch = jobs.error_batch(paths), jobs.metric_batch(paths)
 
     def counts():
-        return {t: spark.read.parquet(paths.of(t)).count() for t in ("errors", "issue_stats_1h", "issue_partials", "alert_signals", "metrics_raw", "metrics_1m")}
+        return {t: spark.read.parquet(paths.of(t)).count() for t in ("errors", "errors_seen", "issue_stats_1h", "issue_partials", "metrics_raw", "metrics_1m")}
+
+    def files():
+        return sorted(r[0] for r in spark.read.parquet(paths.of("issue_partials")).select(F.input_file_name()).distinct().collect())
 
     error_batch(half, 0), metric_batch(lines, 0), error_batch(lines, 1)
-    before = counts()
+    before, named = counts(), files()
     error_batch(lines, 1), metric_batch(lines, 0)
-    assert counts() == before and before["alert_signals"] == 3
+    assert counts() == before and before["errors"] == 30  # the lines of both batches count once
+    assert files() == named  # a stream that follows the partials does not see the batch again
+
+
+def test_redelivered_events(spark, tmp_path):
+    """Only committed events of earlier batches are dropped, however full the filter is."""
+    cols = "project_id long, event_id string, timestamp timestamp, received_at timestamp, n int"
+    make = lambda ids, n: [(1 + i % 2, f"e{i}", T0 + timedelta(hours=i % 60), T0 + timedelta(minutes=n), n) for i in ids]
+    old = spark.createDataFrame(make(range(0, 400), 0), cols)
+    new = spark.createDataFrame(make(range(200, 900), 1) + make(range(880, 950), 2), cols)
+    for blocks in (1, 1 << 16):
+        hits = {(r.project_id, r.event_id) for r in seen.possible_repeats(new, seen.filter_of(old, blocks=blocks), blocks=blocks).collect()}
+        true = {(1 + i % 2, f"e{i}") for i in range(200, 400)}
+        assert hits >= true and (len(hits) > 400) == (blocks == 1)
+    table, filters = f"{tmp_path}/t", f"{tmp_path}/f"
+    old.withColumn("day", F.to_date("timestamp")).withColumn("batch", F.lit(0)).write.partitionBy("day", "batch").parquet(table)
+    for batch in (0, 0):  # a repeated write replaces itself
+        seen.write_filter(old, filters, batch)
+    with seen.first_deliveries(new, table, filters, 1) as fresh:
+        got = sorted((int(r.event_id[1:]), r.n) for r in fresh.collect())
+        assert fresh.columns == new.columns
+    assert got == [(i, 1 if i < 900 else 2) for i in range(400, 950)]
+    with seen.first_deliveries(old, table, filters, 0) as again:  # batch 0 itself runs again
+        assert again.count() == 400
+    assert seen.forget(spark, filters, (T0 + timedelta(days=1)).date()) == ["2024-01-01"]
+    with seen.first_deliveries(new, table, filters, 1) as fresh:
+        assert fresh.count() == 550 + sum(1 for i in range(200, 400) if i % 60 < 24)
 
 
 def test_regressions_across_batches(spark, tmp_path):
@@ -109,23 +144,53 @@ def test_regressions_across_batches(spark, tmp_path):
         at = T0 + timedelta(minutes=i)
         rows.append((1, f"g{i % 2}", at, f"{i:03d}", at, "t", "c", "error", "", ""))
     cols = "project_id long, group_hash string, received_at timestamp, event_id string, timestamp timestamp, title string, culprit string, level string, release string, environment string"
-    df = spark.createDataFrame(rows, cols).withColumn("user_id", F.lit("u")).withColumn("components", F.array())
+    df = spark.createDataFrame(rows, cols).withColumn("user_id", F.lit("u")).withColumn("components", F.array().cast("array<string>"))
     acts = [(1, g, T0 + timedelta(minutes=m, seconds=30), "s", k, "") for g, m, k in
             (("g0", 5, "resolved"), ("g0", 21, "resolved"), ("g1", 9, "resolved"), ("g1", 9.5, "ignored"), ("g1", 30, "resolved"), ("g0", 38, "resolved"))]
     actions = spark.createDataFrame([(p, g, t, s, k, r) for p, g, t, s, k, r in acts], "project_id long, group_hash string, acted_at timestamp, seq string, kind string, release string")
-    want = sorted(r.timestamp for r in issues.regressions(df, actions, jobs.ISSUE_ORDER).collect())
+    want = sorted(r.timestamp for r in issues.regressions(df, actions, issue_state.ORDER).collect())
     assert len(want) == 3
-    for cuts in ([0, 40], [0, 7, 23, 31, 40], list(range(0, 41, 4))):
-        path, got = f"{tmp_path}/{len(cuts)}", []
+    moves = f"{tmp_path}/moves"
+    actions.write.parquet(moves)
+    for cuts, each in (([0, 40], True), ([0, 7, 23, 31, 40], True), (list(range(0, 41, 4)), False)):
+        path, out = f"{tmp_path}/{len(cuts)}", f"{tmp_path}/{len(cuts)}-out"
         for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
             part = df.filter(F.col("event_id").between(f"{a:03d}", f"{b - 1:03d}"))
-            found = jobs.batch_signals(part, batches.read_partials(spark, path, n, path + "-snap"), actions)
-            got += [(r.kind, r.at) for r in found.collect()]
-            batches.write_partial(jobs.issue_partials(part), path, n)
-            if n % 3 == 2:
-                batches.snapshot_partials(spark, path, path + "-snap", n, jobs.merge_partials)
-        assert sorted(t for k, t in got if k == "regression") == want
+            batches.write_partial(issue_state.partials(part, actions), path, n)
+            if each or b == 40:
+                stream = spark.readStream.schema(actions.schema).parquet(moves)
+                issue_state.start_issues(spark, path, out, out + "-check", stream, available_now=True, hash_type="string").awaitTermination()
+        found = spark.read.schema(issue_state.change_schema("string")).parquet(out)
+        got = [(r.kind, r.at) for r in issue_state.signals_of(found).collect()]
         assert sum(k == "new_issue" for k, _ in got) == 2
+        assert sorted(t for k, t in got if k == "regression") == want
+        now = {r.group_hash: (r.times_seen, r.status) for r in issue_state.latest(found).collect()}
+        assert now == {"g0": (20, "resolved"), "g1": (20, "unresolved")}
+
+
+def test_issue_state_goes_on_from_a_batch_fold(spark, tmp_path):
+    cols = "project_id long, group_hash string, received_at timestamp, event_id string, timestamp timestamp, title string, culprit string, level string, release string, environment string, user_id string, components array<string>"
+    row = lambda g, m, title: (1, g, T0 + timedelta(minutes=m), f"{m:03d}", T0 + timedelta(minutes=m), title, "c", "error", "r1", "production", "u", ["x"])
+    past = issue_state.partials(spark.createDataFrame([row("a", 1, "one"), row("a", 2, "two"), row("b", 3, "three")], cols))
+    initial = issue_state.initial_state(past)
+    path, out = f"{tmp_path}/p", f"{tmp_path}/o"
+    acts = "project_id long, group_hash string, acted_at timestamp, seq string, kind string, release string, assignee_id long"
+    steps = [([row("c", 9, "new")], [("a", 5, "resolved", None), ("b", 5, "assigned", 7)]), ([row("a", 10, "back"), row("a", 0, "late")], [("b", 4, "ignored", None)])]
+    for n, (rows, moves) in enumerate(steps):
+        new = spark.createDataFrame([(1, g, T0 + timedelta(minutes=m), str(m), k, "r2", who) for g, m, k, who in moves], acts)
+        new.write.mode("append").parquet(f"{tmp_path}/m")
+        known = spark.read.parquet(f"{tmp_path}/m")
+        part = issue_state.partials(spark.createDataFrame(rows, cols), known)
+        batches.write_partial(part, path, n)
+        if n == 1:  # the same batch under another file name
+            part.write.mode("append").parquet(f"{path}/batch={n}")
+        stream = spark.readStream.schema(new.schema).parquet(f"{tmp_path}/m")
+        issue_state.start_issues(spark, path, out, out + "-c", stream, initial, True, hash_type="string").awaitTermination()
+    found = spark.read.schema(issue_state.change_schema("string")).parquet(out)
+    assert sorted((r.kind, r.group_hash, r.title) for r in issue_state.signals_of(found).collect()) == [("new_issue", "c", "new"), ("regression", "a", "back")]
+    now = {r.group_hash: r for r in issue_state.latest(found).collect()}
+    assert {g: (r.title, r.times_seen, r.status, r.assignee_id, r.first_seen) for g, r in now.items()} == {
+        "a": ("back", 4, "unresolved", None, T0), "b": ("three", 1, "ignored", 7, T0 + timedelta(minutes=3)), "c": ("new", 1, "unresolved", None, T0 + timedelta(minutes=9))}
 
 
 RULES = [(1, 1, "all", "new_issue", '{}', '[{"type":"webhook","settings":{"url":"u"}},{"type":"email","settings":{}}]', 3600, True),
