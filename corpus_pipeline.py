@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalfold.llm.components import stored
-from signalfold.llm.decontaminate import find_hits, remove_documents
+from signalfold.llm.decontaminate import clean_documents
 from signalfold.llm.langid import UNKNOWN, identify, learn
 from signalfold.llm.line_templates import drop_recurring_lines
 from signalfold.llm.packing import pack_documents
 from signalfold.llm.queries import table, tokenizer_path
 from signalfold.llm.tsearch import near_duplicates
+from signalfold.llm.words import free_name
 
 # A document goes if no language holds its text: no letters, or spans of several languages.
 LEAST_SCORE = 0.3
@@ -27,8 +28,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs)
     if model is None:  # nothing to learn from, so nothing to judge by
         return docs
-    found = identify(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    # Columns of the documents that are named like a verdict travel under other names.
+    named = {c: free_name(docs, f"{c}_of_document") for c in ("lang_pred", "score", "lang_spans") if c in docs.columns}
+    found = identify(docs.withColumnsRenamed(named), model)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,21 +45,26 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows without an id stay.
+    """Of each group of near duplicates the document with the least id stays.
 
-    Of rows that repeat the id of a document that stays, all stay.
+    A row without an id counts as one with an id above all others, so near copies of any document
+    go.  Of rows that repeat the id of a document that stays, all stay.  Null and empty texts have no copies.
     """
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Both reads of a table of files number its rows alike, also when a lost task is run again.
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id())
+    key, gone = free_name(docs, "row_id"), free_name(docs, "gone")
+    rows = docs.withColumn(key, id_)
+    copies = near_duplicates(rows, id_col=key).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return rows.join(copies, F.col(key) == F.col(gone), "left_anti").drop(key)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
-    return remove_documents(docs, find_hits(docs, table(spark, sf_dir, "benchmark")))
+    """Documents whose text holds a passage of the benchmark go, with or without an id; null texts stay."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents packed into sequences of at most 2048 tokens, one row per piece."""
+    """All documents packed into sequences of at most 2048 tokens, one row per piece; a null text is an empty one."""
     return pack_documents(docs, tokenizer_path())
 
 

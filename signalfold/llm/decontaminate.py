@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalfold.llm.words import ALNUM_PATTERN
+from signalfold.llm.words import ALNUM_PATTERN, free_name
 from signalfold.scale import input_bytes
 
 # A benchmark whose own files are no larger is broadcast (its windows take some tens of times that).
@@ -98,9 +98,26 @@ def find_hits(
 
 
 def remove_documents(docs: DataFrame, hits: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """Documents without hits, all columns; rows whose id is null cannot be named and stay."""
-    bad = hits.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+    """Documents without hits, all columns; rows whose id is null cannot be named and stay (see `clean_documents`)."""
+    name = free_name(docs, "bad")
+    bad = hits.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", n: int = 10, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Documents whose text has no hit, with all their columns, whatever their names.
+
+    The text alone decides, by its SHA-256: equal texts go together, rows with a null id go too,
+    and of rows that repeat an id only those with a hit.  Null and empty texts stay; an empty
+    table or benchmark removes nothing.
+    """
+    key = F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+    rows = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    hits = find_hits(rows, benchmark, item_col=item_col, n=n, broadcast_bytes=broadcast_bytes)
+    bad = free_name(docs, "bad")
+    return docs.join(hits.where("n_hit > 0").select(F.col("doc_id").alias(bad)).distinct(), key == F.col(bad), "left_anti")
 
 
 def remove_spans(docs: DataFrame, hits: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,15 +125,17 @@ def remove_spans(docs: DataFrame, hits: DataFrame, *, id_col: str = "doc_id", te
 
     Ids are taken to be unique; rows with a null id stay as they are.
     """
-    bad = hits.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("_bad"), F.col("spans").alias("_spans"))
-    parts = F.regexp_extract_all(text_col, F.lit(f"({_WORD_AND_GAP})"), F.lit(1))
+    name, spans = free_name(docs, "bad"), free_name(docs, "spans")
+    bad = hits.where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias(name), F.col("spans").alias(spans))
+    parts = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"({_WORD_AND_GAP})"), F.lit(1))
 
     def outside(_: Column, i: Column) -> Column:
-        return ~F.exists("_spans", lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"]))
+        return ~F.exists(spans, lambda s: (i + 1 >= s["pos"]) & (i + 1 < s["pos"] + s["len"]))
 
     cut = F.concat_ws("", F.filter(parts, outside))
-    joined = docs.join(bad, F.col(id_col) == F.col("_bad"), "left_outer")
-    return joined.withColumn(text_col, F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(cut)).select(docs.columns)
+    joined = docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_outer")
+    text = F.when(F.col(name).isNull(), F.col(f"`{text_col}`")).otherwise(cut)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(hits: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,21 +28,53 @@ SCRIPTS = [
 _STARTS = np.array([s for s, _ in SCRIPTS])
 SCRIPT_NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT_NO = np.array([SCRIPT_NAMES.index(name) for _, name in SCRIPTS])
-# A word is a run of letters; scripts written without blanks give one word per letter.
-WORD = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]|[^\W\d_]+")
+
+
+def _set(points: np.ndarray) -> str:
+    """Ascending code points as a set of a regular expression."""
+    gaps = np.flatnonzero(np.diff(points) > 1)
+    ranges = zip(points[np.concatenate([[0], gaps + 1])].tolist(), points[np.concatenate([gaps, [-1]])].tolist(), strict=True)
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]"
+
+
+# Scripts written without blanks: every letter is a word.
+_ALONE = [(0x0E00, 0x0E7F), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF)]
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[np.ndarray, re.Pattern]:
+    """Table of what the plain pattern misjudges (combining marks, numbers that are no digits, letters that are words), and words."""
+    names = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    letter, mark = (np.array([n[0] == x for n in names]) for x in "LM")
+    alone = np.zeros(len(names), bool)
+    for a, b in _ALONE:
+        alone[a : b + 1] = True
+    odd = mark | alone | np.array([n in ("Nl", "No") for n in names])
+    single, first, more = (_set(np.flatnonzero(x)) for x in (letter & alone, letter & ~alone, (letter | mark) & ~alone))
+    return odd, re.compile(f"{single}|{first}{more}*")
+
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-MAX_WORD = 48  # letters of a word that count for its score; a longer one still is one word
+ROWS = 500  # rows of an Arrow batch that are scored together
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters with their combining marks, in lower case; scripts written without blanks give a word per letter."""
+    text = text.lower()
+    if text.isascii():
+        return _LETTERS.findall(text)
+    odd, words = _patterns()
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    return (words if odd[points].any() else _LETTERS).findall(text)
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of the character n-grams of all words, and the word of each."""
-    padded = [f" {w[:MAX_WORD]} " for w in words]
+    padded = [f" {w} " for w in words]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
     points = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     word = np.repeat(np.arange(len(words)), sizes)
@@ -162,18 +196,19 @@ def best_path(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarr
 
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 8_000) -> Model | None:
-    """A model from about `max_docs` labelled documents, picked by the hash of their id.
+    """A model from about `max_docs` labelled documents, picked by the hash of their id and text.
 
-    Rows with null text or language do not count; without any there is no model.  What reaches
+    Rows with null text or language do not count; without any there is no model.  Where equal rows
+    leave the sample empty, some `max_docs` rows are taken.  Languages are numbered by name.  What reaches
     the driver is one row per language and hash bucket.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         "text is not null and lang is not null"
     )
     share = min(1.0, max_docs / max(rows.select("lang").count(), 1))
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < max(1, round(share * 1_000_000)))
+    some = rows.where(F.pmod(F.xxhash64("id", "text", F.lit(7)), F.lit(1_000_000)) < max(1, round(share * 1_000_000)))
     if some.isEmpty():
-        some = rows.where(F.lit(share < 1))  # a single repeated id may hide the sample; then all rows count
+        some = rows.limit(max_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -230,38 +265,46 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
 
     The predicted language is the one whose spans hold most letters; `score` is its share of
     the letters, times how much better its words fit it than the next language (0 to 1).
-    `lang_spans` is the number of spans.  A text that is null or has no letter, or any text
-    without a model, gives `und`, 0 and 0.  No shuffle; null ids, repeated rows and other
-    columns stay as they are (columns named like a new one are replaced).
+    `lang_spans` is the number of spans.  Of languages with equal letters the first by name counts.
+    A text that is null or has no letter, or any text without a model, gives `und`, 0 and 0.  No
+    shuffle; null ids, repeated rows and other columns stay as they are, whatever their names
+    (columns named like a new one are replaced).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for _, _, texts in chunks(batch.column("_text").to_pylist()):
-                if model is None:
-                    found += [(UNKNOWN, 0.0, 0)] * len(texts)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                yield judged(whole.slice(at, ROWS))
+
+    def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for _, _, texts in chunks(batch.column(where).to_pylist(), 1_000_000):
+            if model is None:
+                found += [(UNKNOWN, 0.0, 0)] * len(texts)
+                continue
+            for words, labels, scores in zip(*label_words(model, texts, penalty), strict=True):
+                if not words:
+                    found.append((UNKNOWN, 0.0, 0))
                     continue
-                for words, labels, scores in zip(*label_words(model, texts, penalty), strict=True):
-                    if not words:
-                        found.append((UNKNOWN, 0.0, 0))
-                        continue
-                    letters = np.fromiter(map(len, words), float, len(words))
-                    held = np.bincount(labels, letters, len(model.languages))
-                    best = int(held.argmax())
-                    own = scores[labels == best]
-                    others = np.delete(own.mean(axis=0), best)
-                    margin = float(own[:, best].mean() - others.max()) if len(others) else 3.0
-                    sure = 1 / (1 + np.exp(-np.clip(2 * margin, -20, 20)))
-                    found.append((model.languages[best], float(held[best] / letters.sum() * sure), 1 + int(np.count_nonzero(np.diff(labels)))))
-            keep = [batch.column(c) for c in passed]
-            made = zip(*found, strict=True) if found else ([], [], [])
-            arrays = [pa.array(list(c), t) for c, t in zip(made, (pa.string(), pa.float64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays(keep + arrays, names=[*passed, "lang_pred", "score", "lang_spans"])
+                letters = np.fromiter(map(len, words), float, len(words))
+                held = np.bincount(labels, letters, len(model.languages))
+                best = int(held.argmax())
+                own = scores[labels == best]
+                others = np.delete(own.mean(axis=0), best)
+                margin = float(own[:, best].mean() - others.max()) if len(others) else 3.0
+                sure = 1 / (1 + np.exp(-np.clip(2 * margin, -20, 20)))
+                found.append((model.languages[best], float(held[best] / letters.sum() * sure), 1 + int(np.count_nonzero(np.diff(labels)))))
+        made = zip(*found, strict=True) if found else ([], [], [])
+        arrays = [pa.array(list(c), t) for c, t in zip(made, (pa.string(), pa.float64(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *arrays], names=[*passed, *new])
 
     new = ["lang_pred", "score", "lang_spans"]
     passed = [c for c in docs.columns if c not in new]
+    # The text goes to Python once, in its own column unless that is replaced.
+    sent = passed if text_col in passed else [*passed, text_col]
+    where = sent.index(text_col)
+    rows = docs.select(*[F.col(f"`{c}`") for c in sent])
     schema = docs.select(*[F.col(f"`{c}`") for c in passed]).schema
     for name, kind in zip(new, ("string", "double", "long"), strict=True):
         schema = schema.add(name, kind)
-    return docs.select(*[F.col(f"`{c}`") for c in passed], F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 
 # The two word definitions of the query contracts, and A-Z to a-z.
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -17,6 +18,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the table does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def spaced_words(text: str | None) -> list[str]:
     return SPACED.findall(text) if text else []
 

@@ -193,6 +193,13 @@ def test_decontamination(spark, docs, empty):
     assert cut.columns == docs.columns and cut.count() == unique.count()
     assert decontaminate.find_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.find_hits(empty, bench).count() == 0
+    named = docs.withColumnsRenamed({"lang": "bad", "source": "spans", "part": "_bad"})
+    bad = {r[1] or "" for r in rows() for g in grams for w in [ALNUM.findall((r[1] or "").translate(LOWER))] for i in range(len(w) - len(g) + 1) if tuple(w[i : i + len(g)]) == g}
+    left = decontaminate.clean_documents(named, bench)
+    assert left.columns == named.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter((r[0], r[1]) for r in rows() if (r[1] or "") not in bad)
+    assert decontaminate.remove_documents(named, decontaminate.find_hits(named, bench)).count() < len(rows())
+    assert decontaminate.clean_documents(empty, bench).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -264,6 +271,16 @@ def test_languages(spark, docs, empty):
     assert found[None]["lang_pred"] == found[" \n\t"]["lang_pred"] == "und" and found[None]["score"] == 0
     assert all(0 <= r["score"] <= 1 for r in found.values()) and len(found["x"]) == len(docs.columns) + 3
     assert langid.identify(spark.createDataFrame([(1, "собака дом")], "doc_id long, text string"), model).first()["lang_pred"] == "ru"
+    odd = [(1, "½ ² Ⅷ 12", "a", "b"), (2, "हिन्दी", "a", "b"), (3, "dog" * 4000 + " the house of the dog", "a", "b")]
+    odd = spark.createDataFrame(odd, "_text long, text string, lang_spans string, words string")
+    judged = {r["_text"]: r for r in langid.identify(odd, model, id_col="_text").collect()}
+    assert [judged[i]["lang_pred"] for i in (1, 3)] == ["und", "en"] and judged[3]["words"] == "b" and judged[2]["lang_pred"] != "und"
+    assert langid.words_of("हिन्दी naïve 漢字 x½y ก้า") == ["हिन्दी", "naïve", "漢", "字", "x", "y", "ก", "า"]
+    assert len(langid.words_of("x" * 10_000)[0]) == 10_000
+    named = odd.select(F.col("text").alias("score"), "words")
+    assert langid.identify(named, model, text_col="score").columns == ["words", "lang_pred", "score", "lang_spans"]
+    again = langid.learn(training.where("doc_id = 0").limit(1).unionByName(training.where("doc_id = 0").limit(1)), max_docs=1)
+    assert again is None or len(again.languages) == 1
     assert langid.learn(empty) is None and langid.identify(docs, None).where("lang_pred = 'und'").count() == docs.count()
     assert langid.identify(empty, model).count() == 0
 

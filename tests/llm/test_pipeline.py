@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -29,6 +30,21 @@ def test_odd_tables(spark):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 4]
 
 
+def test_clashing_names_and_null_ids(spark, tmp_path):
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").where("text is not null").first()["text"]
+    plain = "there was some little water under that other house and many people before them"
+    rows = [(5, plain, 1), (None, plain, 2), (None, f"{plain} {item}", 3), (6, None, 4), (None, None, 5)]
+    names = ["row_id", "gone", "bad", "score", "lang_pred", "lang_spans", "_text", "_gone", "_bad", "_row", "_lines"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").select("*", *[F.lit("x").alias(c) for c in names], F.lit("en").alias("lang"))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    keys = lambda df: sorted(r["k"] for r in df.collect())
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.jaccard_join, corpus_pipeline.decontaminate):
+        assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+    assert keys(corpus_pipeline.jaccard_join(spark, docs, "")) in ([1, 3, 4, 5], [1, 4, 5])
+    assert keys(corpus_pipeline.decontaminate(spark, docs, "/root/testdata/sf0.001")) == [1, 2, 4, 5]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and out.where("length > 2048").count() == 0
