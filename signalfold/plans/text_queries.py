@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from signalfold import schemas
 from signalfold.functions import enrich, grouping, normalize, scrub
 from signalfold.functions.stack import parse_stack
+from signalfold.operators.source_maps import decode_segments, floor_segments
 from signalfold.operators.symbolicate import (
-    decode_segments,
-    floor_segments,
     match_artifacts,
     normal_url,
     path_parts,
@@ -23,7 +22,7 @@ from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
 from signalfold.scale import work_dir
 
-# White space and word edges as RE2 writes them.
+# White space as RE2 writes it, the secrets that are redacted and the message parts that are replaced.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 JWT = r"\beyJ[\w-]*\.[\w-]+\.[\w-]+\b"
 AUTH = r"(?i)\b(bearer|basic|token)\s+[\w\-._~+/]+=*"
@@ -488,6 +487,7 @@ def _(spark, d):
 
 # --- source maps made from the order lines: one map per supplier --------------------------------------
 
+# Fixed value: the digits of base 64.
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 
 
