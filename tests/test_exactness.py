@@ -1,13 +1,14 @@
 """Distributed algorithms against brute force on skewed random data."""
 
 import random
+import struct
 from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from signalfold.operators import alerts, issues, rollups, throttle
-from signalfold.operators.percentiles import aggregate_with_percentiles, rank_percentiles
+from signalfold.operators.percentiles import SHIFTS, aggregate_with_percentiles, order_key, rank_percentiles
 
 T0 = datetime(2024, 1, 1)
 
@@ -32,8 +33,6 @@ def test_percentiles_match_numpy(spark):
 
 
 def test_percentiles_of_tiny_and_odd_values(spark):
-    from signalfold.operators.percentiles import _bucket
-
     tiny = spark.range(100_000).select(F.lit("tiny").alias("k"), (F.col("id") / 25_641_026.0).alias("v"))
     odd = spark.createDataFrame([("odd", x) for x in (float("nan"), 1.0, 2.0, float("inf"), -float("inf"), 0.0, -1e-300, 5e-324)], "k string, v double")
     df = tiny.unionByName(odd)
@@ -42,9 +41,41 @@ def test_percentiles_of_tiny_and_odd_values(spark):
     want = {r.k: r.q for r in df.groupBy("k").agg(F.percentile("v", probs).alias("q")).collect()}
     for k in want:
         assert np.allclose(got[k], want[k], rtol=1e-12, equal_nan=True), k
-    assert tiny.select(_bucket(F.col("v"))).distinct().count() > 1000  # one bucket with log1p
     ordered = [r.v for r in odd.orderBy("v").collect()]
-    assert [r.v for r in odd.orderBy(_bucket(F.col("v")), "v").collect()][:-1] == ordered[:-1]
+    assert [r.v for r in odd.orderBy(order_key(F.col("v"))).collect()][:-1] == ordered[:-1]
+
+
+def test_keys_are_the_bits_of_doubles(spark):
+    rng = random.Random(2)
+    values = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    values += [x * y for e in range(-1074, 1024, 7) for x in (2.0**e, np.nextafter(2.0**e, 0), np.nextafter(2.0**e, np.inf)) for y in (1, -1)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, np.nextafter(2.0**-1022, 0), float("inf"), -float("inf"), 1.7976931348623157e308]
+    values = [float(v) for v in values if v == v]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", order_key(F.col("v")).alias("k")).collect()
+    for v, k in got:
+        bits = struct.unpack("<q", struct.pack("<d", abs(v)))[0]
+        assert k == (-bits if v < 0 else bits), v
+
+
+def test_a_million_values_in_one_range(spark):
+    """Values that agree in their first digits are narrowed by the next ones, not sorted in one task."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit(1).alias("g"), (F.lit(1.0) + F.col("id") / (300.0 * n)).alias("v"))
+    rows = rows.unionByName(spark.range(1000).select(F.lit(2).alias("g"), F.col("id").cast("double").alias("v")))
+    assert rows.filter("g = 1").select(F.shiftright(order_key(F.col("v")), SHIFTS[0])).distinct().count() == 1
+    probs = [0.0, 0.123456, 0.5, 0.999999, 1.0]
+    want = {1: np.quantile(1.0 + np.arange(n) / (300.0 * n), probs), 2: np.quantile(np.arange(1000.0), probs)}
+    for small in (1000, 1):
+        got = {r.g: r.q for r in rank_percentiles(rows, ["g"], "v", probs, small=small).collect()}
+        assert all(np.allclose(got[g], want[g], rtol=1e-15, atol=1e-12) for g in want)
+
+
+def test_sums_and_percentiles_need_one_scan_each(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"), F.lit("x").alias("label"))
+    out = aggregate_with_percentiles(df, ["k"], "v", [0.5], {"n": F.count("*"), "s": F.sum("v")}, ["label"])
+    assert sorted(map(tuple, out.collect())) == [(k, "x", len(v), sum(v), [float(np.median(v))]) for k in range(3) for v in [list(range(k, 100, 3))]]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 100") == 1  # sums and first digits were read in the pass before
 
 
 def test_metric_rules_reach_beyond_a_quarter(spark):
