@@ -25,7 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalfold.llm.components import components, stored
@@ -37,6 +37,7 @@ BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 3_000_000
 OFTEN = 4  # documents of one batch that share a shingle before it is reported as common
 PIVOTS = 4  # most members of a list that meet all its others at first; a list of 2**k has k of them
+BEST = 2  # pivots that a document is compared with at first; further links are found among open documents
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -223,19 +224,23 @@ def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, commo
 def _open_sets(left: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     """Documents that may still link to another component: doc_id, n, component, ref, s, lists.
 
-    Such a document is on a list that holds several components, and what it shares with a
-    partner there are shingles that are found in several components: `lists`, s of its n shingles,
+    Such a document is on as many lists that hold several components as a link takes, and what it shares
+    with a partner there are shingles that are found in several components: `lists`, s of its n shingles,
     as structs (size, token), the rarest first.  `ref` is the pivot of most of its open lists.
     """
     several = F.min("component").alias("low"), F.max("component").alias("high")
     pivot = F.min(F.struct("own", "doc_id"))["doc_id"].alias("pivot")
+    # As in `needed`, for the smallest possible partner: it is on so many of the short lists.
+    enough = F.col("lists") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / 20)
     mixed = postings.groupBy("token").agg(*several, pivot).where("low <> high").select("token", "pivot")
-    open_ = postings.join(mixed, "token").groupBy("doc_id", "component").agg(F.mode("pivot", True).alias("ref"))
-    whole = stored(left.join(open_, "doc_id").select("doc_id", "n", "component", "ref", F.explode("tokens").alias("token")), "open")
+    met = postings.join(mixed, "token").groupBy("doc_id", "component", "n").agg(F.mode("pivot", True).alias("ref"), F.count("*").alias("lists"))
+    open_ = stored(met.where(enough).select("doc_id", "n", "component", "ref"), "open-documents")
+    whole = stored(left.select("doc_id", "tokens").join(open_.select("doc_id", "component"), "doc_id").select("doc_id", "component", F.explode("tokens").alias("token")), "open")
     shared = whole.groupBy("token").agg(*several, F.count("*").alias("size")).where("low <> high").select("token", "size")
     lists = F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists")
-    sets = whole.join(shared, "token").groupBy("doc_id", "n", "component", "ref").agg(lists)
-    return sets.withColumn("s", F.size("lists").cast("long")).where(100 * F.col("s") >= percent * F.col("n"))
+    sets = whole.select("doc_id", "token").join(shared, "token").groupBy("doc_id").agg(lists).join(open_, "doc_id")
+    sets = sets.select("doc_id", "n", "component", "ref", "lists", F.size("lists").cast("long").alias("s"))
+    return sets.where(100 * F.col("s") >= percent * F.col("n"))
 
 
 def _differences(sets: DataFrame) -> DataFrame:
@@ -296,7 +301,7 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
 
     `postings` has doc_id, n, s (shingles that a partner can hold), token and component, without
     `full` also own.  First every list has a few pivots (its least members in as many orders),
-    each of which meets all members; such lists are not all those of a pair, so one is enough.
+    each of which meets all members; a member is paired with the pivots of most of its lists.
     With `full`, members meet those of other components and another ref in what lists still hold
     several; then all common lists of a pair are there and the bound applies to their sum: the
     lists of one pair may be merged in several tasks, and with either side as the query.
@@ -359,9 +364,12 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
             yield out(answer(query, na, lists, sizes))
 
     found = rows.mapInArrow(merge, "a long, b long, lists long, need long")
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lists", "need")
     if not full:
-        return found.select("a", "b").distinct()
+        # What is left out here meets again among the open documents.
+        turn = Window.partitionBy("b").orderBy(F.desc("lists"), "a")
+        best = found.groupBy("a", "b").agg(F.sum("lists").alias("lists")).withColumn("turn", F.row_number().over(turn))
+        return best.where(F.col("turn") <= BEST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lists", "need")
     return found.groupBy("a", "b", "need").agg(F.sum("lists").alias("lists")).where("lists >= need").select("a", "b")
 
 
