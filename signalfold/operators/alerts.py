@@ -313,7 +313,12 @@ def evaluate_metrics(
     minutes: DataFrame, hours: DataFrame, rules: DataFrame, now, dashboard: str = ""
 ) -> DataFrame:
     """Attempts of the metric rules that are breached; no data is no breach."""
-    rows = observed_metrics(minutes, hours, rules, now).filter(
+    return metric_attempts(observed_metrics(minutes, hours, rules, now), now, dashboard)
+
+
+def metric_attempts(observed: DataFrame, now, dashboard: str = "") -> DataFrame:
+    """Attempts of the rules whose observed value (see `observed_metrics`) breaches their limit."""
+    rows = observed.filter(
         breached(F.col("operator"), F.col("observed"), F.col("limit"))
     )
     label = window_label(F.col("_window"))

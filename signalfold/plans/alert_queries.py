@@ -12,6 +12,8 @@ from signalfold.operators import rollups as roll
 from signalfold.plans.adapters import errors, metrics, rules, table
 from signalfold.plans.issue_queries import FOLD, GROUP, ID, REGRESSIONS, SPARK_ID, actions, issues, occurrences
 from signalfold.plans.registry import register
+from signalfold.scale import work_dir
+from signalfold.streaming import schedule
 
 NOW = "2024-01-30"
 
@@ -205,17 +207,23 @@ def _(spark, d):
     return alerts.validate_rules(parsed_rules(spark, d))
 
 
+NUMBER = """CASE WHEN {0} = round({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"""
+
+
 @register(
     "t8_metric_text",
     f"""WITH {OBSERVED} SELECT rule_id, c_agg || '(' || c_metric || ') ' || CASE c_operator WHEN 'lt' THEN '<' ELSE '≥' END
-  || ' ' || CAST(CAST(c_value AS BIGINT) AS STRING) AS head, 'https://app.example.com/projects/' || project_id || '/metrics?name=' || c_metric AS url
-FROM obs WHERE CASE c_operator WHEN 'lt' THEN observed < c_value ELSE observed >= c_value END""",
+  || ' ' || {NUMBER.format('c_value')} || ' — ' || {NUMBER.format('exact')} || ' over ' || c_window || 'm' AS text,
+  'https://app.example.com/projects/' || project_id || '/metrics?name=' || c_metric AS url
+FROM (SELECT *, round(observed, 3) AS exact FROM obs) WHERE CASE c_operator WHEN 'lt' THEN exact < c_value ELSE exact >= c_value END""",
 )
 def _(spark, d):
-    rows = alerts.evaluate_metrics(
-        *states(spark, d), parsed_rules(spark, d), NOW, "https://app.example.com"
-    )
-    return rows.select("rule_id", F.split("culprit", " — ")[0].alias("head"), "url")
+    """The whole text of a breached rule; observed values are rounded as a dashboard would, sums of doubles have no one order."""
+    minutes, hours = states(spark, d)
+    observed = alerts.observed_metrics(minutes, hours, parsed_rules(spark, d), NOW)
+    rounded = observed.withColumn("observed", F.round("observed", 3))
+    rows = alerts.metric_attempts(rounded, NOW, "https://app.example.com")
+    return rows.select("rule_id", F.col("culprit").alias("text"), "url")
 
 
 @register(
@@ -243,6 +251,12 @@ def _(spark, d):
     )
 
 
+def _written(spark, df, label):
+    path = work_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register(
     "t9_minute_passes",
     f"""WITH t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-28', TIMESTAMP '2024-01-30', INTERVAL 12 HOUR)) AS now_),
@@ -260,13 +274,11 @@ hit AS (SELECT rule_id, 'metric:' || rule_id AS dedupe_key, now_ AS at_, throttl
 SELECT rule_id, dedupe_key, at_ FROM fires""",
 )
 def _(spark, d):
-    """Metric rules evaluated at several moments over the whole metric table, each throttled by the passes before."""
-    minutes, hours = states(spark, d)
-    ready = parsed_rules(spark, d)
-    attempts = None
-    for hour in range(0, 49, 12):
-        now = datetime(2024, 1, 28) + timedelta(hours=hour)
-        found = alerts.with_channels(alerts.evaluate_metrics(minutes, hours, ready, now))
-        attempts = found if attempts is None else attempts.unionByName(found)
-    fired = throttle.fired_times(attempts)
-    return fired.withColumnRenamed("at", "at_")
+    """Timed passes over the whole metric table, each of which reads the last fires that the one before it left."""
+    minutes, hours = (_written(spark, s, "t9") for s in states(spark, d))
+    ready, out = parsed_rules(spark, d), work_dir(spark, "t9-notifications")
+    for n in range(5):
+        now = datetime(2024, 1, 28) + timedelta(hours=12 * n)
+        schedule.tick(spark, lambda at: alerts.evaluate_metrics(minutes, hours, ready, at), now, out, n)
+    told = spark.read.parquet(out).select("rule_id", "dedupe_key", F.col("fired_at").cast("timestamp_ntz").alias("at_"))
+    return told.distinct()

@@ -240,6 +240,11 @@ def test_timed_passes(spark, tmp_path):
     schedule.tick(spark, evaluate, T0 + timedelta(minutes=3), out, 3)  # a repeated pass
     fired = sorted((r.fired_at - T0).seconds // 60 for r in spark.read.parquet(out).collect())
     assert fired == [0, 3]
+    # Only what a later pass can need is kept: one row for the one target, or none once its throttle is over.
+    kept = batches.folder_numbers(spark, out + "-fires", "tick")
+    assert sorted(kept) == [3, 4, 5] and spark.read.parquet(f"{out}-fires/tick=5").count() == 1
+    schedule.tick(spark, lambda now: evaluate(now).limit(0), T0 + timedelta(hours=1), out, 6)
+    assert spark.read.parquet(f"{out}-fires/tick=6").count() == 0
 
 
 def test_rule_checks(spark):
