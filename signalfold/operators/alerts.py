@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from signalfold import schemas
 from signalfold.operators.issues import KEYS as ISSUE_KEYS
+from signalfold.operators.panes import age_in_minutes, over_windows, pane_sums
 from signalfold.operators.rollups import AGGREGATIONS, QUANTILES
 from signalfold.scale import broadcast_if_small, in_window, utc
 
@@ -19,7 +20,6 @@ REASONS = {"new_issue": "New issue", "regression": "Regression"}
 DEFAULT_THROTTLE_SECONDS = 3600
 MAX_SPIKES = 100
 ROLLUP_CUTOVER_MINUTES = 48 * 60
-# Errors are kept 90 days, so no window can look further back.
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
@@ -156,14 +156,13 @@ def _widest(rules: DataFrame) -> timedelta:
 
 
 def frequent_groups(
-    errors: DataFrame, rules: DataFrame, now: datetime | str
+    errors: DataFrame, rules: DataFrame, now: datetime | str, most: int | None = MAX_SPIKES
 ) -> DataFrame:
     """(rule_id, project_id, group_hash, count) of the groups over each rule's threshold.
 
-    The scan reaches back as far as the widest enabled rule.
-
-    Occurrences are counted per group and whole minute of age first, so the rules meet
-    counts and not occurrences, and rules with different windows share one scan.
+    The scan reaches back as far as the widest enabled rule.  Occurrences are counted per group
+    and minute of age, then per pane, and the rules sum panes: a window of any width is a few.
+    `most` groups per rule, the busiest ones, come out; None gives all.
     """
     moment = utc(now)
     now_us = F.lit(int((moment - datetime(1970, 1, 1)).total_seconds()) * 1_000_000 + moment.microsecond)
@@ -178,23 +177,28 @@ def frequent_groups(
         )
         .filter("_threshold > 0 AND _window > 0")
     )
+    widest = _widest(usable)
+    windows = usable.withColumnRenamed("_window", "minutes")
     counts = (
-        in_window(errors, moment - _widest(usable))
-        .withColumn("_age", F.ceil((now_us - at_us) / F.lit(60_000_000)))
-        .groupBy(*ISSUE_KEYS, "_age")
+        in_window(errors, moment - widest)
+        .withColumn("age", F.greatest(age_in_minutes(at_us, now_us), F.lit(1)))
+        .groupBy(*ISSUE_KEYS, "age")
         .agg(F.count("*").alias("_n"))
     )
+    minutes = int(widest.total_seconds() // 60)
+    panes = pane_sums(counts, windows, ["project_id"], ISSUE_KEYS, [F.sum("_n").alias("_n")], minutes)
     summed = (
-        counts.join(broadcast_if_small(usable), "project_id")
-        .filter("_age <= _window")
+        over_windows(panes, windows, ["project_id"])
         .groupBy("rule_id", "_threshold", *ISSUE_KEYS)
         .agg(F.sum("_n").alias("count"))
         .filter(F.col("count") >= F.col("_threshold"))
     )
+    if most is None:
+        return summed.select("rule_id", *ISSUE_KEYS, "count")
     busiest = Window.partitionBy("rule_id").orderBy(F.col("count").desc(), "group_hash")
     return (
         summed.withColumn("_rank", F.row_number().over(busiest))
-        .filter(F.col("_rank") <= MAX_SPIKES)
+        .filter(F.col("_rank") <= most)
         .select("rule_id", *ISSUE_KEYS, "count")
     )
 
@@ -265,21 +269,30 @@ def _metric_rules(rules: DataFrame) -> DataFrame:
 
 
 def observed_metrics(minutes: DataFrame, hours: DataFrame, rules: DataFrame, now) -> DataFrame:
-    """One observed value per metric rule that has data in its window, however wide that is."""
+    """One observed value per metric rule that has data in its window, however wide that is.
+
+    States are merged per pane of age, and each rule merges the panes of its window.
+    """
     moment = utc(now)
     candidates = _metric_rules(rules)
     wide = F.col("_window") > ROLLUP_CUTOVER_MINUTES
 
-    def joined(states: DataFrame, time_col: str, which: Column) -> DataFrame:
-        at = F.col(time_col).cast("timestamp")
-        end = F.lit(moment.isoformat(sep=" ") + " UTC").cast("timestamp")
-        own = candidates.filter(which)
-        recent = in_window(states, moment - _widest(own), moment, time_col)
-        pairs = recent.join(broadcast_if_small(own), ["project_id", "name"])
-        since = F.unix_micros(end) - F.col("_window").cast("long") * 60_000_000
-        return pairs.filter(F.unix_micros(at) >= since).drop(time_col)
+    end = F.unix_micros(F.lit(moment.isoformat(sep=" ") + " UTC").cast("timestamp"))
+    scope = ["project_id", "name"]
+
+    def merged() -> list[Column]:
+        return [F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.min("min").alias("min"), F.max("max").alias("max"),
+                F.kll_merge_agg_double("quantiles").alias("quantiles"), F.hll_union_agg("unique").alias("unique")]
+
+    def summed(states: DataFrame, time_col: str, which: Column) -> DataFrame:
+        own = candidates.filter(which).withColumn("minutes", F.col("_window"))
+        widest = _widest(own)
+        recent = in_window(states, moment - widest, moment, time_col)
+        aged = recent.withColumn("age", F.greatest(age_in_minutes(F.unix_micros(F.col(time_col).cast("timestamp")), end), F.lit(1)))
+        panes = pane_sums(aged, own, scope, scope, merged(), int(widest.total_seconds() // 60))
+        return over_windows(panes, own.select(*scope, "rule_id", "agg", "minutes"), scope)
 
-    pairs = joined(minutes, "minute", ~wide).unionByName(joined(hours, "hour", wide))
+    pairs = summed(minutes, "minute", ~wide).unionByName(summed(hours, "hour", wide))
     quantile = F.col("agg").isin(*QUANTILES)
     kll = F.kll_merge_agg_double(F.when(quantile, F.col("quantiles")))
     hll = F.hll_union_agg(F.when(F.col("agg") == "uniq", F.col("unique")))

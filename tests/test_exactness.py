@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from signalfold.operators import alerts, issues, rollups, throttle
+from signalfold.operators import alerts, issues, panes, rollups, throttle
 from signalfold.operators.percentiles import SHIFTS, aggregate_with_percentiles, order_key, rank_percentiles
 
 T0 = datetime(2024, 1, 1)
@@ -91,6 +91,20 @@ def test_metric_rules_reach_beyond_a_quarter(spark):
     assert [r["observed"] for r in got.collect()] == [12.0]
 
 
+def test_windows_are_few_panes(spark):
+    rng = random.Random(6)
+    widths = [1, 2, 3, 7, 8, 1440, 10_079, 43_200, 129_600, *(rng.randrange(1, 200_000) for _ in range(30))]
+    windows = spark.createDataFrame([(i % 2, i, w) for i, w in enumerate(widths)], "p int, rule int, minutes int")
+    ages = [(i % 2, rng.choice([1, 2, 3, 8, 9, rng.randrange(1, 200_001)])) for i in range(4000)]
+    rows = spark.createDataFrame(ages, "p int, age long")
+    sums = panes.pane_sums(rows, windows, ["p"], ["p"], [F.count("*").alias("n")], max(widths))
+    got = panes.over_windows(sums, windows, ["p"]).groupBy("rule").agg(F.sum("n").alias("n"))
+    want = {i: sum(p == i % 2 and a <= w for p, a in ages) for i, w in enumerate(widths)}
+    assert {r.rule: r.n for r in got.collect()} == {i: n for i, n in want.items() if n}
+    parts = windows.select("minutes", F.size(panes.window_panes(F.col("minutes"))).alias("n")).collect()
+    assert all(r.n == r.minutes.bit_count() for r in parts)
+
+
 def brute_fires(times, gap, last):
     fires = []
     for t in sorted(set(times)):
