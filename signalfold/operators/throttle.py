@@ -1,12 +1,13 @@
 """Alert throttling: fire only when the last fire of the same target is old enough.
 
 Whether an attempt fires depends on the last *fire*, so the decision is a chain over time.
-To keep a busy target from becoming one long task, its timeline is cut into chunks:
+To keep a busy target from becoming one long task, all attempts are put in order of target and time
+and cut into chunks of so many rows, wherever a target ends:
 
 1. every chunk is reduced, on its own, to a step function "earliest time a fire is allowed ->
    last fire in this chunk";
-2. these few steps are composed in time order per target, which gives the state each chunk
-   starts with;
+2. the functions of a target are applied one after the other as they stream by in order of time, which
+   gives the state each chunk starts with; a task holds one number and one chunk's steps;
 3. every chunk, again on its own, lists its fires.
 """
 
@@ -16,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalfold.scale import work_dir
+
 KEYS = ["rule_id", "dedupe_key"]
 CHUNK_KEYS = [*KEYS, "_chunk"]
-DAY_US = 24 * 3600 * 1_000_000
-# A chunk is this many throttle windows long, and a day at least.
-WINDOWS_PER_CHUNK = 64
+CHUNK_ROWS = 1 << 17
 
 
 def _next_allowed(times: np.ndarray, gap: int) -> np.ndarray:
@@ -70,24 +72,29 @@ def chunk_fires(times: np.ndarray, gap: int, allowed: int | None) -> np.ndarray:
 def _steps(pdf: pd.DataFrame) -> pd.DataFrame:
     times = np.unique(pdf["_at"].to_numpy("int64"))
     first = pdf.iloc[0]
-    bounds, last = chunk_steps(times, int(first["_gap"]), int(first["_start"]))
-    keys = {k: first[k] for k in [*CHUNK_KEYS, "_gap"]}
-    return pd.DataFrame({**keys, "_bound": bounds, "_last": last})
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["_chunk", "_bound"])
-    gap, allowed = int(pdf["_gap"].iloc[0]), None
-    chunks, states = [], []
-    for chunk, steps in pdf.groupby("_chunk", sort=True):
-        chunks.append(chunk)
-        states.append(allowed)
-        bounds = steps["_bound"].to_numpy("int64")
-        at = 0 if allowed is None else int(np.searchsorted(bounds, allowed, side="left"))
-        if at < len(bounds):
-            allowed = int(steps["_last"].iloc[at]) + gap
-    keys = {k: pdf[k].iloc[0] for k in KEYS}
-    return pd.DataFrame({**keys, "_chunk": chunks, "_allowed": pd.array(states, dtype="Int64")})
+    bounds, last = chunk_steps(times, int(first["_gap"]), int(times[0]))
+    keys = {k: [first[k]] for k in [*CHUNK_KEYS, "_gap"]}
+    return pd.DataFrame({**keys, "_bounds": [bounds], "_lasts": [last]})
+
+
+def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Earliest allowed time at the start of every chunk; rows come by target, then chunk."""
+    target, allowed = object(), None
+    for batch in batches:
+        states = []
+        bounds, lasts = batch.column("_bounds"), batch.column("_lasts")
+        keys = zip(*[batch.column(k).to_pylist() for k in KEYS], batch.column("_gap").to_pylist(), strict=True)
+        for i, (*key, gap) in enumerate(keys):
+            if key != target:
+                target, allowed = key, None
+            states.append(allowed)
+            steps = bounds[i].values.to_numpy()
+            at = 0 if allowed is None else int(np.searchsorted(steps, allowed, side="left"))
+            if at < len(steps):
+                allowed = int(lasts[i].values[at].as_py()) + gap
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(k) for k in CHUNK_KEYS], pa.array(states, pa.int64())], names=[*CHUNK_KEYS, "_allowed"]
+        )
 
 
 def _fires(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +105,25 @@ def _fires(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({**{k: first[k] for k in KEYS}, "_at": fired})
 
 
-def fired_times(attempts: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def _kept(df: DataFrame) -> DataFrame:
+    path = work_dir(df.sparkSession, "throttle")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def chunked(points: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Points with `_chunk`: stretches of about `chunk_rows` rows in order of target and time.
+
+    Range partitioning draws its bounds anew each time it runs, so chunks are written down.
+    """
+    points = _kept(points)
+    chunks = points.count() // chunk_rows + 1
+    if chunks == 1:
+        return points.withColumn("_chunk", F.lit(0))
+    return _kept(points.repartitionByRange(chunks, *KEYS, "_at").withColumn("_chunk", F.spark_partition_id()))
+
+
+def fired_times(attempts: DataFrame, history: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(rule_id, dedupe_key, at) of the attempts that fire.
 
     `attempts` has rule_id, dedupe_key, at and throttle_seconds; `history` (rule_id,
@@ -106,13 +131,10 @@ def fired_times(attempts: DataFrame, history: DataFrame | None = None) -> DataFr
     """
     kind = attempts.schema["at"].dataType
     gap = F.greatest(F.col("throttle_seconds").cast("long") * 1_000_000, F.lit(1))
-    width = F.greatest(F.col("_gap") * WINDOWS_PER_CHUNK, F.lit(DAY_US))
     points = (
         attempts.groupBy(*KEYS, "at")
         .agg(F.max(gap).alias("_gap"))
         .withColumn("_at", F.unix_micros(F.col("at").cast("timestamp")))
-        .withColumn("_chunk", F.floor(F.col("_at") / width))
-        .withColumn("_start", F.col("_chunk") * width)
         .drop("at")
     )
     if history is not None:
@@ -123,18 +145,18 @@ def fired_times(attempts: DataFrame, history: DataFrame | None = None) -> DataFr
         points = points.join(prior, KEYS, "left")
         points = points.filter(F.col("_prior").isNull() | (F.col("_at") >= F.col("_prior") + F.col("_gap")))
         points = points.drop("_prior")
+    points = chunked(points, chunk_rows)
     types = {f.name: f.dataType for f in points.schema}
     key_fields = [T.StructField(k, types[k]) for k in KEYS]
     chunk_field = T.StructField("_chunk", types["_chunk"])
     long = T.LongType()
+    state_schema = T.StructType([*key_fields, chunk_field, T.StructField("_allowed", long)])
     steps_schema = T.StructType(
-        [*key_fields, chunk_field]
-        + [T.StructField(n, long) for n in ("_gap", "_bound", "_last")]
+        [*key_fields, chunk_field, T.StructField("_gap", long)]
+        + [T.StructField(n, T.ArrayType(long)) for n in ("_bounds", "_lasts")]
     )
     steps = points.groupBy(*CHUNK_KEYS).applyInPandas(_steps, steps_schema)
-    states = steps.groupBy(*KEYS).applyInPandas(
-        _compose, T.StructType([*key_fields, chunk_field, T.StructField("_allowed", long)])
-    )
+    states = steps.repartition(*KEYS).sortWithinPartitions(*CHUNK_KEYS).mapInArrow(_states, state_schema)
     fires = (
         points.join(states, CHUNK_KEYS)
         .groupBy(*CHUNK_KEYS)

@@ -70,10 +70,10 @@ for _sort, _order in {
 
     @register(
         f"p2_transactions_by_{_sort}",
-        TRANSACTION_SQL.format(where="", order=_order, limit=3),
+        TRANSACTION_SQL.format(where="", order=_order, limit=50),
     )
     def _(spark, d, sort=_sort):
-        df = perf.transactions(spans(spark, d), START, END, APDEX_T, sort=sort, limit=3)
+        df = perf.transactions(spans(spark, d), START, END, APDEX_T, sort=sort)
         return rounded(df, *TRANSACTION_DOUBLES)
 
 

@@ -703,6 +703,50 @@ def _(spark, d):
     return _per_day(spark, _log_table(spark, d, "s4"))
 
 
+def _appended(spark, rows, name, label, writes=2):
+    """Rows of the job lines appended in some writes to the table of their signal, read back."""
+    path = work_dir(spark, label)
+    for i in range(writes):
+        tables.append(rows.filter(F.pmod(F.xxhash64("timestamp"), F.lit(writes)) == i), path, name)
+    return tables.read(spark, path)
+
+
+@register(
+    "s4_write_errors",
+    f"""SELECT project_id, CAST({STAMPED} AS DATE) AS day, {ENV} AS environment, count(*) AS rows, count(DISTINCT event_id) AS events,
+  CAST(sum(length(exception_value || ' [redacted]')) AS BIGINT) AS chars FROM fx_errors GROUP BY ALL""",
+)
+def _(spark, d):
+    return _appended(spark, _error_rows(spark, d), "errors", "s4e").groupBy("project_id", "day", "environment").agg(
+        F.count("*").alias("rows"), F.count_distinct("event_id").alias("events"), F.sum(F.length("exception_value")).alias("chars")
+    )
+
+
+@register(
+    "s4_write_spans",
+    f"""SELECT project_id, CAST(date_trunc('month', {STAMPED}) AS DATE) AS month, op, count(*) AS rows,
+  CAST(sum(trunc(duration_ns / 1e6 * 1e6)) AS BIGINT) AS total_ns FROM fx_spans GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = _appended(spark, signals.span_rows(jobs.decode_jobs(span_lines(spark, d))), "spans", "s4s", 1)
+    return rows.groupBy("project_id", F.trunc("day", "month").alias("month"), "op").agg(
+        F.count("*").alias("rows"), F.sum("duration_ns").alias("total_ns")
+    )
+
+
+@register(
+    "s4_write_metrics",
+    f"""SELECT project_id, CAST({STAMPED} AS DATE) AS day, name, count(*) AS rows, min(value) AS least, max(value) AS most,
+  count(page) AS tagged FROM fx_metrics GROUP BY ALL""",
+)
+def _(spark, d):
+    rows = _appended(spark, signals.metric_rows(jobs.decode_jobs(metric_lines(spark, d))), "metrics_raw", "s4m")
+    return rows.groupBy("project_id", "day", "name").agg(
+        F.count("*").alias("rows"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.count(F.col("tags")["page"]).alias("tagged"),
+    )
+
+
 @register("d1_retention", PER_DAY.format(where="WHERE timestamp >= TIMESTAMP '2024-01-15'"))
 def _(spark, d):
     path = _log_table(spark, d, "d1")

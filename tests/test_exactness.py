@@ -130,8 +130,20 @@ def test_throttle_matches_the_chain(spark):
             want |= {(rule, key, T0 + timedelta(microseconds=t)) for t in brute_fires(times, seconds * 1_000_000, prior)}
     df = spark.createDataFrame(attempts, "rule_id long, dedupe_key string, at timestamp, throttle_seconds int")
     hist = spark.createDataFrame(history, "rule_id long, dedupe_key string, fired_at timestamp")
-    got = [tuple(r) for r in throttle.fired_times(df, hist).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    for chunk_rows in (1 << 17, 500, 40):
+        got = [tuple(r) for r in throttle.fired_times(df, hist, chunk_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_busy_target_is_cut_into_chunks(spark):
+    n, gap = 1_000_000, 977
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 80_003).alias("at")  # within a day
+    df = spark.range(n).select(F.lit(1).cast("long").alias("rule_id"), F.lit("k").alias("dedupe_key"), at, F.lit(gap).alias("throttle_seconds"))
+    points = df.select("rule_id", "dedupe_key", F.unix_micros("at").alias("_at"))
+    largest = throttle.chunked(points, 50_000).groupBy("_chunk").agg(F.count("*").alias("n"), F.max("_at") - F.min("_at")).agg(F.max("n")).first()[0]
+    assert largest < 150_000
+    got = sorted(r["us"] for r in throttle.fired_times(df, chunk_rows=50_000).select(F.unix_micros("at").alias("us")).collect())
+    assert got == [1_704_067_200_000_000 + t for t in brute_fires((i * 80_003 for i in range(n)), gap * 1_000_000, None)]
 
 
 def test_throttle_known_chain(spark):
