@@ -146,17 +146,16 @@ def logs_of_traces(logs: DataFrame, traces: DataFrame, limit: int = MAX_LOGS) ->
     )
 
 
-def waterfall(spans: DataFrame, traces: DataFrame | None = None) -> DataFrame:
-    """Spans of each trace in start order with their position (2000 per trace)."""
+def waterfall(spans: DataFrame, traces: DataFrame | None = None, limit: int | None = MAX_TRACE_SPANS) -> DataFrame:
+    """Spans of each trace in start order with their position, 2000 per trace unless told otherwise; None gives all."""
     if traces is not None:
         wanted = drop_nil_traces(traces).select("project_id", "trace_id").distinct()
         spans = spans.join(wanted, ["project_id", "trace_id"], "left_semi")
     order = Window.partitionBy("project_id", "trace_id").orderBy(
         "timestamp", "span_id", "name", "duration_ns"
     )
-    return spans.withColumn("position", F.row_number().over(order)).filter(
-        F.col("position") <= MAX_TRACE_SPANS
-    )
+    ranked = spans.withColumn("position", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("position") <= limit)
 
 
 def tail_logs(logs: DataFrame, after, limit: int = MAX_LOGS, project_id=None) -> DataFrame:

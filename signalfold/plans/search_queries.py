@@ -10,6 +10,8 @@ from signalfold.functions.search import search, time_range
 from signalfold.operators import listing
 from signalfold.plans.adapters import errors, logs, metrics, spans
 from signalfold.plans.registry import register
+from signalfold.scale import work_dir
+from signalfold.sources import tables
 
 NOW = datetime(2024, 1, 31)
 ERROR_COLUMNS = ["project_id", "event_id", "level", "release"]
@@ -211,6 +213,26 @@ def _(spark, d):
     return listing.waterfall(rows)
 
 
+def _by_trace(spark, rows, label):
+    """Rows in the layout by trace, as a table of its own."""
+    path = work_dir(spark, label)
+    return tables.write_trace_buckets(rows, f"traces_{path.rsplit('-', 1)[1]}", path)
+
+
+@register(
+    "l8_waterfall_by_trace",
+    """SELECT project_id, trace_id, span_id, parent_span_id, name, timestamp, duration_ns,
+  row_number() OVER (PARTITION BY project_id, trace_id ORDER BY timestamp, span_id, name, duration_ns) AS position
+FROM fx_spans QUALIFY position <= 2000""",
+)
+def _(spark, d):
+    """The waterfall of all traces from the layout by trace, without a shuffle."""
+    rows = spans(spark, d).select(
+        "project_id", "trace_id", "span_id", "parent_span_id", "name", "timestamp", "duration_ns"
+    )
+    return listing.waterfall(_by_trace(spark, rows, "l8"))
+
+
 for _signal, _text, _condition in (
     ("logs", "severity:>=warn", "severity_number >= 13"),
     ("errors", "level:error", "level = 'error'"),
@@ -271,3 +293,22 @@ FROM u GROUP BY ALL""",
 )
 def _(spark, d):
     return listing.signals_by_trace(errors(spark, d), logs(spark, d), spans(spark, d))
+
+
+@register(
+    "j7_joined_by_trace",
+    """WITH e AS (SELECT trace_id, count(*) AS errors FROM fx_errors GROUP BY ALL), l AS (SELECT trace_id, count(*) AS logs FROM fx_logs GROUP BY ALL)
+SELECT s.project_id, s.trace_id, count(*) AS spans, CAST(sum(duration_ns) AS BIGINT) AS total_ns, any_value(coalesce(errors, 0)) AS errors, any_value(coalesce(logs, 0)) AS logs
+FROM fx_spans s LEFT JOIN e USING (trace_id) LEFT JOIN l USING (trace_id) GROUP BY s.project_id, s.trace_id""",
+)
+def _(spark, d):
+    """Traces with the errors and logs that share them, joined bucket by bucket from the layouts by trace."""
+    parts = {
+        name: _by_trace(spark, rows(spark, d).select("project_id", "trace_id", "timestamp", *more), f"j7-{name}")
+        for name, rows, more in (("spans", spans, ["duration_ns"]), ("errors", errors, []), ("logs", logs, []))
+    }
+    traces = parts["spans"].groupBy("project_id", "trace_id").agg(F.count("*").alias("spans"), F.sum("duration_ns").alias("total_ns"))
+    for name in ("errors", "logs"):
+        counted = parts[name].groupBy("trace_id").agg(F.count("*").alias(name))
+        traces = traces.join(counted, "trace_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return traces

@@ -125,3 +125,13 @@ def test_ingest_keys(spark):
     items = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "public_key string, n int")
     ok, bad = control.resolve_keys(items, keys, projects)
     assert [r.n for r in ok.collect()] == [1] and sorted(r.n for r in bad.collect()) == [2, 3]
+
+
+def test_reads_by_trace_shuffle_nothing(spark):
+    from signalfold.plans import catalog
+
+    for name in ("l8_waterfall_by_trace", "j7_joined_by_trace"):
+        df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan, name
