@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from signalfold.llm.components import components, stored
 from signalfold.llm.words import SPACED, chunks, hash_runs, hash_words, mix
+from signalfold.scale import broadcast_if_small
 
 WIDTH = 5
 PERCENT = 75
 BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 3_000_000
 OFTEN = 4  # documents of one batch that share a shingle before it is reported as common
-PIVOTS = 4  # most members of a list that meet all its others at first; a list of 2**k has k of them
+PIVOTS = 3  # most members of a list that meet all its others at first; a list of 2**k has k of them
 BEST = 2  # pivots that a document is compared with at first; further links are found among open documents
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -235,7 +236,7 @@ def _open_sets(left: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     mixed = postings.groupBy("token").agg(*several, pivot).where("low <> high").select("token", "pivot")
     met = postings.join(mixed, "token").groupBy("doc_id", "component", "n").agg(F.mode("pivot", True).alias("ref"), F.count("*").alias("lists"))
     open_ = stored(met.where(enough).select("doc_id", "n", "component", "ref"), "open-documents")
-    whole = stored(left.select("doc_id", "tokens").join(open_.select("doc_id", "component"), "doc_id").select("doc_id", "component", F.explode("tokens").alias("token")), "open")
+    whole = stored(left.select("doc_id", "tokens").join(broadcast_if_small(open_.select("doc_id", "component")), "doc_id").select("doc_id", "component", F.explode("tokens").alias("token")), "open")
     shared = whole.groupBy("token").agg(*several, F.count("*").alias("size")).where("low <> high").select("token", "size")
     lists = F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists")
     sets = whole.select("doc_id", "token").join(shared, "token").groupBy("doc_id").agg(lists).join(open_, "doc_id")
@@ -311,7 +312,7 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
         aggregates.append(F.mode("ref", True).alias("most"))
     else:
         orders = [F.col("own"), *(F.xxhash64("doc_id", F.lit(i)) for i in range(1, PIVOTS))]
-        aggregates += [F.min(F.struct(o.alias("turn"), "doc_id", "n", "s")).alias(f"p{i}") for i, o in enumerate(orders)]
+        aggregates += [F.min(F.struct(o.alias("turn"), "doc_id", "n")).alias(f"p{i}") for i, o in enumerate(orders)]
     lists = postings.groupBy("token").agg(*aggregates).where("low <> high")
     member = postings.select("token", "doc_id", "component", "n", "s", *(["ref"] if full else []))
     if full:
@@ -324,10 +325,10 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
         once = (F.col("q") < F.col("doc_id")) | F.coalesce(F.col("ref") == F.col("most"), F.lit(False))
         other = (F.col("cq") != F.col("component")) & once & ~F.coalesce(F.col("rq") == F.col("ref"), F.lit(False))
     else:
-        all_ = F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n", f"p{i}.s") for i in range(PIVOTS)])
+        all_ = F.array(*[F.struct(f"p{i}.doc_id", f"p{i}.n") for i in range(PIVOTS)])
         pivots = F.array_distinct(F.slice(all_, F.lit(1), F.least(F.lit(PIVOTS), F.ceil(F.log2("size")).cast("int"))))
         query = lists.select("token", "size", F.explode(pivots).alias("p")).select(
-            "token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"), F.col("p.s").alias("sq")
+            "token", "size", F.col("p.doc_id").alias("q"), F.col("p.n").alias("nq"), F.col("p.n").alias("sq")
         )
         other = F.col("q") != F.col("doc_id")
     # No more than min(s) of the shingles can be shared; this holds the sizes together as well.
@@ -374,9 +375,11 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs that reach the similarity."""
+    """The candidate pairs (a table of files) that reach the similarity."""
+    # Pairs are two numbers, sets are long: where the pairs are small, only sets that are asked for travel.
+    pairs = broadcast_if_small(pairs)
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")).join(pairs.select("b"), "b", "left_semi")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
