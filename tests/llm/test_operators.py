@@ -61,6 +61,8 @@ def test_windows(docs, empty):
         want[doc_id, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
     assert got == want
     assert any(k[2] for k in want)
+    sampled = superkmers.remove_repeated_windows(docs, block_bytes=4000, bucket_bytes=2000, hot=3, sample_bytes=20_000)
+    assert Counter(tuple(r) for r in sampled.collect()) == want
     assert superkmers.remove_repeated_windows(empty).count() == 0
 
 
