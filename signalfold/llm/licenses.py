@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -79,6 +80,43 @@ TEXTS = [
 ]
 
 
+# SPDX identifiers, with the labels of their families.
+SPDX = [
+    ("0BSD", "bsd"), ("AFL-3.0", "afl-3"), ("AGPL-3.0", "agpl-3"), ("Apache-1.1", "apache-1.1"), ("Apache-2.0", "apache-2"),
+    ("Artistic-2.0", "artistic-2"), ("BSD-2-Clause", "bsd"), ("BSD-3-Clause", "bsd"), ("BSD-4-Clause", "bsd"), ("BSL-1.0", "bsl-1"),
+    ("CC0-1.0", "cc0-1"), ("CC-BY-3.0", "cc-by-3"), ("CC-BY-4.0", "cc-by-4"), ("CC-BY-SA-3.0", "cc-by-sa-3"), ("CC-BY-SA-4.0", "cc-by-sa-4"),
+    ("CC-BY-NC-4.0", "cc-by-nc-4"), ("CC-BY-ND-4.0", "cc-by-nd-4"), ("CC-BY-NC-SA-4.0", "cc-by-nc-sa-4"), ("CC-BY-NC-ND-4.0", "cc-by-nc-nd-4"),
+    ("CDDL-1.0", "cddl-1"), ("CDDL-1.1", "cddl-1.1"), ("EPL-1.0", "epl-1"), ("EPL-2.0", "epl-2"), ("EUPL-1.2", "eupl-1.2"), ("GFDL-1.3", "gfdl-1.3"),
+    ("GPL-1.0", "gpl-1"), ("GPL-2.0", "gpl-2"), ("GPL-3.0", "gpl-3"), ("ISC", "isc"), ("LGPL-2.0", "lgpl-2"), ("LGPL-2.1", "lgpl-2.1"),
+    ("LGPL-3.0", "lgpl-3"), ("MIT", "mit"), ("MIT-0", "mit"), ("MPL-1.1", "mpl-1.1"), ("MPL-2.0", "mpl-2"), ("MS-PL", "ms-pl"), ("OFL-1.1", "ofl"),
+    ("OSL-3.0", "osl-3"), ("PostgreSQL", "postgresql"), ("Python-2.0", "python"), ("Unlicense", "unlicense"), ("WTFPL", "wtfpl"), ("X11", "mit"), ("Zlib", "zlib"),
+]
+
+# Short names as people write them: label, priority, strength, keyword, pattern.
+SHORT = [
+    ("apache-2", 35, 0.7, "apache", r"apache (?:license )?(?:version |v)?2(?: 0)?"),
+    ("bsd", 35, 0.7, "bsd", r"bsd [234] clause"),
+    ("bsd", 35, 0.7, "bsd", r"(?:two|three|four|new|simplified|modified|revised) (?:clause )?bsd"),
+    ("gpl-2", 35, 0.7, "gplv2", r"gplv2"),
+    ("gpl-3", 35, 0.7, "gplv3", r"gplv3"),
+    ("lgpl-2.1", 35, 0.7, "lgplv2", r"lgplv2 1"),
+    ("lgpl-3", 35, 0.7, "lgplv3", r"lgplv3"),
+    ("agpl-3", 35, 0.7, "agplv3", r"agplv3"),
+    ("cc0", 35, 0.7, "commons", r"creative commons public domain dedication"),
+    ("ofl", 35, 0.8, "sil open", r"sil open font license"),
+    ("mit", 35, 0.7, "mit", r"(?:dual|triple) licensed under (?:the )?mit"),
+    ("python", 35, 0.8, "python software", r"python software foundation license"),
+    ("php", 35, 0.8, "php", r"php license"),
+    ("w3c", 35, 0.8, "w3c", r"w3c (?:software|document) (?:notice and )?license"),
+    ("openssl", 35, 0.8, "openssl", r"openssl license"),
+    ("beerware", 35, 0.8, "beer", r"(?:beerware|the beer ware license)"),
+    ("json", 35, 0.8, "good not evil", r"shall be used for good not evil"),
+]
+
+# Words in front of a name that take it back; such a match covers what is in it and has no label.
+NEGATION = r"(?:not|never|no longer|neither) (?:\w+ )?(?:licensed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms of (?:the )?)?{name}{version}"
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -98,10 +136,15 @@ def rules() -> list[Rule]:
         for step, version in enumerate([*versions, ""]):
             tail = rf" (?:version |v|versions )?{version}(?: 0)?" if version else ""
             full = f"{label}-{version.replace(' ', '.')}" if version else label
-            for priority, strength, form in FORMS:
+            for priority, strength, form in [*FORMS, (0, 0.0, NEGATION)]:
                 text = form.format(name=name, version=tail)
-                made.append(Rule(full, priority + (0 if version else 5), strength, keys, re.compile(rf"(?<= ){text}(?= )".encode())))
-    for label, priority, strength, keyword, text in TEXTS:
+                said = full if strength else ""
+                made.append(Rule(said, priority + (0 if version else 5), strength, keys, re.compile(rf"(?<= ){text}(?= )".encode())))
+    for name, label in SPDX:
+        words = normalise(name).decode().strip()
+        for text in (rf"spdx license identifier {words}", rf"(?:(?<= or )|(?<= and )){words}"):  # alone, or as a further operand
+            made.append(Rule(label, 30, 0.9, (b"spdx",), re.compile(rf"(?<= ){text}(?: only| or later)?(?= )".encode())))
+    for label, priority, strength, keyword, text in [*TEXTS, *SHORT]:
         made.append(Rule(label, priority, strength, (keyword.encode(),), re.compile(rf"(?<= ){text}(?= )".encode())))
     return sorted(made, key=lambda r: (r.priority, r.label))
 
@@ -117,7 +160,7 @@ def _by_keyword() -> list[tuple[bytes, list[int]]]:
 
 
 # No rule and no base phrase matches a text that has none of these.
-GATE = [b"licen", b"cc", b"gpl", b"creative commons", b"public", b"rights reserved", b"permission", b"redistribution",
+GATE = [b"licen", b"spdx", b"bsd", b"beerware", b"good not evil", b"cc", b"gpl", b"creative commons", b"public", b"rights reserved", b"permission", b"redistribution",
         b"proprietary", b"apache", b"warranty", b"gfdl", b"mpl", b"epl", b"cddl", b"eupl", b"bsl", b"wtfpl"]
 
 
@@ -133,12 +176,20 @@ def detections(words: bytes) -> list[tuple[int, int, Rule]]:
     that lies inside an accepted one is dropped; a longer match of a weaker rule leaves the
     accepted ones in it, and partly overlapping matches stay.
     """
+    # Accepted matches that lie in no other one: ascending starts, and so ascending ends.
+    starts: list[int] = []
+    ends: list[int] = []
     opened = sorted({i for k, numbers in _by_keyword() if k in words for i in numbers})
     found = [(m.start(), m.end(), rules()[i]) for i in opened for m in rules()[i].pattern.finditer(words)]
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in sorted(found, key=lambda d: (d[2].priority, d[0] - d[1])):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        kept.append((start, end, rule))
+        first = at - 1 if at and starts[at - 1] == start else at
+        last = bisect_right(ends, end, first)
+        starts[first:last], ends[first:last] = [start], [end]
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].label))
 
 
@@ -148,16 +199,20 @@ def scan(text: str | None) -> tuple:
     n_words = words.count(b" ") - 1 if len(words) > 2 else 0
     if not any(k in words for k in GATE):
         return n_words, 0, None, None, "", "", 0.0
-    starts, base = [], set()
+    places, base = [], set()
     for phrase, label in BASE.items():
         target = f" {phrase} ".encode()
         at = words.find(target)
         while at >= 0:
-            starts.append(words.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
             at = words.find(target, at + 1)
+    starts, number, before = [], 0, 0
+    for at in sorted(places):  # blanks are counted once on the way through the text
+        number, before = number + words.count(b" ", before, at), at
+        starts.append(number)
     found = detections(words)
-    labels = base | {rule.label for _, _, rule in found}
+    labels = base | {rule.label for _, _, rule in found if rule.label}
     missed = 1.0
     for _, _, rule in found:
         missed *= 1 - 0.95 * rule.strength

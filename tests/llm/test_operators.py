@@ -1,9 +1,11 @@
 """Operators of the subpackage against brute force on small tables with nulls, ties and odd texts."""
 
+import bisect
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -388,3 +390,39 @@ def test_co_training(spark, docs, empty):
     assert cotrain.score(docs, model).count() == docs.count()  # nulls, empty texts
     assert cotrain.fit(docs, labels.limit(0)) is None and cotrain.score(empty, model).count() == 0
     assert cotrain.score(docs, None).where("kept").count() == docs.count()
+
+
+def test_license_short_names_identifiers_and_negations():
+    said = {
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "see BSD-3-Clause below": "bsd", "is under Apache 2.0 here": "apache-2",
+        "not licensed under the GPL": "", "It is no longer distributed under the Mozilla Public License 2.0": "", "a new BSD text": "bsd",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2,mit", "GPLv3 or later": "gpl-3", "the GNU Lesser General Public License version 3": "lgpl-3",
+        "a file without any": "", "commit licen": "",
+    }
+    for text, want in said.items():
+        labels = set(licenses.scan(text)[5].split(",")) - {""}
+        assert labels >= set(want.split(",")) - {""}, (text, labels)
+        assert want or not labels, (text, labels)
+    # The base phrases count, negated or not.
+    assert licenses.scan("not licensed under the MIT License")[4:6] == ("mit", "mit")
+
+
+def test_many_mentions_in_one_text():
+    text = "under the MIT License x Apache License, Version 2.0 y " * 50_000
+    began = time.perf_counter()
+    n_words, n_base, first, last, base, labels, score = licenses.scan(text)
+    assert time.perf_counter() - began < 10
+    assert (n_words, n_base, first, last, base) == (550_000, 100_000, 2, 549_994, "apache,mit") and set(labels.split(",")) >= {"apache-2", "mit"}
+    rng = random.Random(4)
+    spans = [(a, a + rng.randrange(1, 40)) for a in (rng.randrange(200) for _ in range(300))]
+    kept, starts, ends = [], [], []
+    for a, b in spans:  # the sweep of `detections` against a comparison with all
+        at = bisect.bisect_right(starts, a)
+        inside = bool(at and ends[at - 1] >= b)
+        assert inside == any(x <= a and b <= y for x, y in kept)
+        if not inside:
+            kept.append((a, b))
+            low = at - 1 if at and starts[at - 1] == a else at
+            high = bisect.bisect_right(ends, b, low)
+            starts[low:high], ends[low:high] = [a], [b]
