@@ -36,7 +36,8 @@ def job_lines(rows, kind: str, payload):
         F.struct(F.lit("js").alias("name"), F.lit("1.2").alias("version")).alias("sdk"),
         F.lit("198.51.100.7").alias("client_ip"),
     )
-    return rows.select(F.to_json(job).alias("value"))
+    # A queue has many readers: lines are spread over them, however few splits the table has.
+    return rows.select(F.to_json(job).alias("value")).repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def error_lines(spark, d):

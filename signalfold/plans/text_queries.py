@@ -20,7 +20,7 @@ from signalfold.operators.symbolicate import (
 )
 from signalfold.plans.adapters import errors, table
 from signalfold.plans.registry import register
-from signalfold.scale import work_dir
+from signalfold.scale import spread_scan, work_dir
 
 # White space as RE2 writes it, the secrets that are redacted and the message parts that are replaced.
 WS = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -74,7 +74,7 @@ FROM joined
 
 def text_table(spark, d, name):
     """A table whose rows cost much more to work on than to read."""
-    return table(spark, d, name)
+    return spread_scan(table(spark, d, name))
 
 
 # --- scrub ---------------------------------------------------------------------------------------

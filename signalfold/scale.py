@@ -44,6 +44,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if input_bytes(df) <= limit else df
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer splits than there are cores, dealt to all of them; any other scan as it is.
+
+    For work that costs much more than reading, on files whose few row groups keep most cores idle.  The
+    splits decide, at every size; `df` is a scan without a shuffle, whose plan has them ready.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the shared folder of spark.checkpoint.dir, or of the warehouse where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/work"
