@@ -236,7 +236,8 @@ def _open_sets(left: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
     mixed = postings.groupBy("token").agg(*several, pivot).where("low <> high").select("token", "pivot")
     met = postings.join(mixed, "token").groupBy("doc_id", "component", "n").agg(F.mode("pivot", True).alias("ref"), F.count("*").alias("lists"))
     open_ = stored(met.where(enough).select("doc_id", "n", "component", "ref"), "open-documents")
-    whole = stored(left.select("doc_id", "tokens").join(broadcast_if_small(open_.select("doc_id", "component")), "doc_id").select("doc_id", "component", F.explode("tokens").alias("token")), "open")
+    whole = left.select("doc_id", "tokens").join(broadcast_if_small(open_.select("doc_id", "component")), "doc_id")
+    whole = whole.select("doc_id", "component", F.explode("tokens").alias("token"))
     shared = whole.groupBy("token").agg(*several, F.count("*").alias("size")).where("low <> high").select("token", "size")
     lists = F.sort_array(F.collect_list(F.struct("size", "token"))).alias("lists")
     sets = whole.select("doc_id", "token").join(shared, "token").groupBy("doc_id").agg(lists).join(open_, "doc_id")
