@@ -36,8 +36,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts recurring lines out of the texts; no document goes, and n_chars follows a changed text."""
-    cut = drop_recurring_lines(docs)
+    """Cuts lines of recurring templates out of the texts; no document goes, and n_chars follows a changed text."""
+    cut = drop_recurring_lines(docs, same_form=False)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))

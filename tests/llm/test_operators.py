@@ -378,6 +378,27 @@ def test_line_templates(spark, docs, empty, tmp_path):
     assert line_templates.template("GET /a/b/c took 15ms") == (4, "GET <*> took", "<*>")
 
 
+def test_similar_lines_merge_into_templates(spark, tmp_path):
+    """Lines of a branch that differ in plain words are one template; others of the branch are not."""
+    word = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    own = lambda i: f"{word(i)} opens the text of this document, most words are here {word(i)} {word(i + 1)}"
+    other = lambda i: " ".join(["Share this page with", *[word(37 * i + 5 * j) for j in range(4)]])
+    lines = [f"Share this page with {word(i)} friends and others" for i in range(24)]
+    texts = [f"{own(i)}\n{line}" for i, line in enumerate(lines)] + [f"{own(30 + i)}\n{other(i)}" for i in range(10)]
+    texts.append("\n".join([lines[0], own(50)]))
+    few = [f"{own(60 + i)}\nRead more about this {word(i)} in our archive" for i in range(19)]
+    docs = list(enumerate(texts + few))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(table, same_form=False).collect()}
+    want = {i: "\n".join(x for x in t.split("\n") if x not in lines) for i, t in docs}
+    assert got == want and sum(got[i] != t for i, t in docs) == 25
+    alone = line_templates.drop_recurring_lines(table)
+    assert {r["doc_id"]: r["text"] for r in alone.collect()} == dict(docs)  # no masked form is in 20 documents
+    parted = line_templates.drop_recurring_lines(table, depth=6, same_form=False)
+    assert {r["doc_id"]: r["text"] for r in parted.collect()} == dict(docs)  # the differing word is a level of the tree
+
+
 def test_co_training(spark, docs, empty):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choices(["good", "fine"] if i % 2 else ["bad$$", "junk##"], k=30)), "en", f"s{i % 2}", 10) for i in range(400)]
