@@ -6,12 +6,12 @@ products with q from above and below.  Each level of a tree covers a node's vect
 radius around some of them, the node's own centre first.
 
 Vectors are dealt into shards by hash, one tree each.  Queries come in blocks to every shard and are answered
-one block after the other, so a task holds one tree and some blocks, however many queries there are.
+one block after the other, all queries of a block together, so a task holds one tree and some blocks, however
+many queries there are.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
@@ -29,10 +29,13 @@ BASE = 1.3  # radius of a level over that of the next one
 LEAF = 32
 NET_BATCH = 256
 EXACT = 1 << 53
+NONE = -(1 << 63)  # below every score
+FIRST_ROUND, LAST_ROUND = 4, 256  # nodes of a round of the search
+VERIFY_ROWS = 4096
 
 
 def products(points: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; past 53 bits by whole numbers, past 63 bits an error."""
+    """Exact integer inner products with a query, or with the columns of several; past 53 bits by whole numbers, past 63 bits an error."""
     most = int(np.abs(points).max(initial=0)) * int(np.abs(query).max(initial=0)) * max(points.shape[-1], 1)
     if most < EXACT:
         return (points.astype(float, copy=False) @ query.astype(float)).astype(np.int64)
@@ -156,87 +159,138 @@ def build(ids: np.ndarray, labels: np.ndarray, points: np.ndarray, base: float =
                 np.array(end), column(3, np.int64), column(4, np.int64), low, low != high)
 
 
-class _Best:
-    """The first k (score, id) of one window."""
+@dataclass
+class Best:
+    """The first rows of one window."""
 
-    def __init__(self, low: int, high: int, k: int) -> None:
-        self.low, self.high, self.k = low, high, k
-        self.scores = self.ids = np.zeros(0, np.int64)
+    scores: np.ndarray
+    ids: np.ndarray
 
-    def least(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        fits = (scores >= max(self.low, self.least())) & (scores <= self.high)
-        if not fits.any():
-            return
-        scores, ids = np.append(self.scores, scores[fits]), np.append(self.ids, ids[fits])
-        if len(scores) > 4 * self.k:  # ties of the k-th score stay
-            some = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            scores, ids = scores[some], ids[some]
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.scores, self.ids = scores[order], ids[order]
+class _Firsts:
+    """The first k (score, id) of every window of a block of queries."""
 
+    def __init__(self, low: np.ndarray, high: np.ndarray, k: int) -> None:
+        self.low, self.high, self.k = low, high, k  # a row per query, a column per window
+        self.least = np.full(low.shape, NONE)  # the k-th score, and its id
+        self.last = np.full(low.shape, NONE)
+        self.key, self.scores, self.ids = (np.zeros(0, np.int64) for _ in range(3))
 
-def search(
-    tree: Tree, query: np.ndarray, windows: list[tuple[int, int]], k: int, label: int, same: bool, but: int, seen: list[int] | None = None
-) -> list[_Best]:
-    """First k rows of each window (least and greatest score) with the label, or with another one.
+    def wanted(self, upper: np.ndarray, lower: np.ndarray | None = None) -> np.ndarray:
+        """Which (node, query) may hold a row for a window, by the bounds of its scores."""
+        some = np.zeros(upper.shape, bool)
+        for w in range(self.low.shape[1]):
+            high = self.high[:, w]
+            fits = np.minimum(upper, high) >= np.maximum(self.low[:, w], self.least[:, w])
+            some |= fits if lower is None else fits & (lower <= high)
+        return some
 
-    Higher scores come first, ties by id; the row `but` does not count.  Nodes are taken by
-    the upper bound of their scores inside the windows; a node whose bounds are outside all windows, or below what
-    each has already, is left out.  Scores are exact integers.  `seen` collects the number of verified vectors.
+    def add(self, scores: np.ndarray, ids: np.ndarray, fits: np.ndarray) -> None:
+        """Take in the (row, query) pairs of `scores` that fit."""
+        need, top = np.maximum(self.low, self.least), self.high
+        row, query = np.nonzero(fits & (scores >= need.min(axis=1)) & (scores <= top.max(axis=1)))
+        if not len(row):
+            return
+        score, id_, width = scores[row, query], ids[row], self.low.shape[1]
+        key, value, name = [self.key], [self.scores], [self.ids]
+        for w in range(width):
+            least = self.least[query, w]
+            on = (score >= need[query, w]) & (score <= top[query, w]) & ((score != least) | (id_ < self.last[query, w]))
+            key.append(query[on] * width + w)
+            value.append(score[on])
+            name.append(id_[on])
+        key, value, name = (np.concatenate(x) for x in (key, value, name))
+        order = np.lexsort((name, -value, key))
+        key = key[order]
+        rank = np.arange(len(key)) - np.searchsorted(key, key)
+        kept = order[rank < self.k]
+        self.key, self.scores, self.ids = key[rank < self.k], value[kept], name[kept]
+        full = order[rank == self.k - 1]
+        at = np.unravel_index(key[rank == self.k - 1], self.low.shape)
+        self.least[at], self.last[at] = value[full], name[full]
+
+    def of(self, query: int, window: int) -> Best:
+        a, b = np.searchsorted(self.key, query * self.low.shape[1] + window + np.array([0, 1]))
+        return Best(self.scores[a:b], self.ids[a:b])
+
+
+def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges, and which range each is of."""
+    sizes = end - first
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[of], of
+
+
+def search_block(
+    tree: Tree, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, labels: np.ndarray, same: bool, but: np.ndarray,
+    seen: list[int] | None = None,
+) -> _Firsts:
+    """First k rows of each window (least and greatest score) of each query, with its label or with another one.
+
+    Higher scores come first, ties by id; the row `but` of a query does not count.  Nodes are taken by the upper
+    bound of their scores, for all queries at a time and more of them each round; for a query, a node whose bounds
+    are outside its windows, or below what each has already, is left out.  Scores are exact integers.  `seen`
+    collects the number of verified pairs of vector and query.
     """
+    best = _Firsts(low, high, k)
+    if not len(tree.ids) or not low.size:
+        return best
     width = tree.points.shape[1]
-    q = np.zeros(width, np.int64)
-    q[: min(width, len(query))] = query[:width]
-    own = float((query.astype(float) ** 2).sum())
-    total = own + float(tree.norm)
+    q = np.zeros((width, len(queries)), np.int64)
+    q[: min(width, queries.shape[1])] = queries.T[:width]
+    total = (queries.astype(float) ** 2).sum(axis=1) + float(tree.norm)
     slack = 1e-9 * total + 1e-6
-    best = [_Best(low, high, k) for low, high in windows]
-    top, bottom = max(high for _, high in windows), min(low for low, _ in windows)
+    top = high.max(axis=1)
 
-    def wanted(upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        some = np.zeros(len(upper), bool)
-        for b in best:
-            some |= (lower <= b.high) & (np.minimum(upper, b.high) >= max(b.low, b.least()))
-        return some
-
-    def verify(scores: np.ndarray, places: np.ndarray) -> None:
+    def verify(scores: np.ndarray, places: np.ndarray, active: np.ndarray) -> None:
         if seen is not None:
-            seen[0] += len(places)
-        fits = (scores <= top) & (scores >= bottom) & ((tree.labels[places] == label) == same) & (tree.ids[places] != but)
-        scores, ids = scores[fits], tree.ids[places[fits]]
-        for b in best:
-            b.add(scores, ids)
-
-    heap = [(-np.inf, 0)] if len(tree.ids) else []
-    while heap:
-        key, node = heapq.heappop(heap)
-        if all(b.least() > min(-key, b.high) for b in best):
-            break
-        c, ce = int(tree.child[node]), int(tree.child_end[node])
-        if c == ce:
-            a, b = int(tree.first[node]), int(tree.end[node])
-            verify(products(tree.points[a:b], q), np.arange(a, b))
+            seen[0] += int(active.sum())
+        ids = tree.ids[places]
+        fits = active & ((tree.labels[places][:, None] == labels) == same) & (ids[:, None] != but)
+        best.add(scores, ids, fits)
+
+    nodes, upper, take = np.zeros(1, np.int64), np.full((1, len(queries)), np.inf), FIRST_ROUND
+    while len(nodes):
+        keys = np.minimum(upper, top).max(axis=1)
+        order = np.argsort(-keys, kind="stable")
+        now, later = order[:take], order[take:]
+        some, active = nodes[now], best.wanted(upper[now]) & (upper[now] > -np.inf)
+        nodes, upper, take = nodes[later], upper[later], min(2 * take, LAST_ROUND)
+        leaf = tree.child[some] == tree.child_end[some]
+        ends = leaf & active.any(axis=1)
+        places, of = _ranges(tree.first[some[ends]], tree.end[some[ends]])
+        for i in range(0, len(places), VERIFY_ROWS):
+            part, mine = places[i : i + VERIFY_ROWS], active[ends][of[i : i + VERIFY_ROWS]]
+            verify(products(tree.points[part], q), part, mine)
+        inner = ~leaf & active.any(axis=1)
+        kids, of = _ranges(tree.child[some[inner]], tree.child_end[some[inner]])
+        active = active[inner][of] & (tree.mixed[kids][:, None] | ((tree.single[kids][:, None] == labels) == same))
+        kids, active = kids[active.any(axis=1)], active[active.any(axis=1)]
+        if not len(kids):
             continue
-        kids = np.arange(c, ce)
-        pure = ~tree.mixed[c:ce]
-        kids = kids[~(pure & ((tree.single[c:ce] == label) != same))]
         scores = products(tree.points[tree.centre[kids]], q)
         alone = tree.end[kids] - tree.first[kids] == 1
-        verify(scores[alone], tree.centre[kids[alone]])
-        kids, scores = kids[~alone], scores[~alone]
+        verify(scores[alone], tree.centre[kids[alone]], active[alone])
+        kids, scores, active = kids[~alone], scores[~alone], active[~alone]
         away = np.sqrt(np.maximum(total - 2.0 * scores, 0))
-        radius = tree.radius[kids] * (1 + 1e-9) + 1e-6
-        upper = (total - np.maximum(away - radius, 0) ** 2) / 2 + slack
-        lower = (total - (away + radius) ** 2) / 2 - slack
-        go = wanted(upper, lower)
-        for n, u in zip(kids[go].tolist(), np.minimum(upper[go], top).tolist(), strict=True):
-            heapq.heappush(heap, (-u, n))
+        radius = (tree.radius[kids] * (1 + 1e-9) + 1e-6)[:, None]
+        above = (total - np.maximum(away - radius, 0) ** 2) / 2 + slack
+        below = (total - (away + radius) ** 2) / 2 - slack
+        above[~(active & best.wanted(above, below))] = -np.inf
+        go = (above > -np.inf).any(axis=1)
+        nodes, upper = np.concatenate([nodes, kids[go]]), np.concatenate([upper, above[go]])
     return best
 
 
+def search(
+    tree: Tree, query: np.ndarray, windows: list[tuple[int, int]], k: int, label: int, same: bool, but: int, seen: list[int] | None = None
+) -> list[Best]:
+    """`search_block` for one query: the first k rows of each of its windows."""
+    low, high = (np.array([w], np.int64) for w in zip(*windows, strict=True))
+    one = search_block(tree, np.asarray(query)[None], low, high, k, np.array([label]), same, np.array([but]), seen)
+    return [one.of(0, w) for w in range(len(windows))]
+
+
 def _matrix(lists: pa.ListArray) -> np.ndarray:
     """Vectors as rows; shorter ones end in zeros."""
     sizes = np.diff(lists.offsets.to_numpy())
@@ -279,6 +333,23 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, same
     given = index.select("shard", "tree", F.lit(-1).cast("long").alias("block"), F.lit(None).cast(asked.schema["queries"].dataType).alias("queries"))
     work = given.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "block")
 
+    def answer(tree: Tree, some: list[dict]) -> pa.RecordBatch:
+        windows = [sorted({(t["low"], t["high"]) for t in q["targets"]}) for q in some]
+        bounds = np.zeros((2, len(some), max(map(len, windows))), np.int64)
+        bounds[:] = np.array([1, -1])[:, None, None] << 62  # nothing is in a window that is not there
+        for i, w in enumerate(windows):
+            bounds[:, i, : len(w)] = np.array(w).T
+        vectors = np.zeros((len(some), max(len(q["vector"]) for q in some)), np.int64)
+        for i, q in enumerate(some):
+            vectors[i, : len(q["vector"])] = q["vector"]
+        labels, ids = (np.array([q[c] for q in some], np.int64) for c in ("label", "id"))
+        found = search_block(tree, vectors, *bounds, k, labels, same, ids)
+        asked = [(q["query"], t["target"], found.of(i, windows[i].index((t["low"], t["high"])))) for i, q in enumerate(some) for t in q["targets"]]
+        sizes = [len(best.ids) for *_, best in asked]
+        columns = [np.repeat(np.array(list(c), np.int64), sizes) for c in list(zip(*asked, strict=True))[:2]]
+        columns += [np.concatenate([getattr(best, c) for *_, best in asked]) for c in ("ids", "scores")]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "target", "id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, shard = None, -1
         for batch in batches:
@@ -290,16 +361,7 @@ def search_index(index: DataFrame, queries: DataFrame, shards: int, k: int, same
                     continue
                 if tree is None or shard != row.column("shard")[0].as_py():
                     continue  # a shard without rows
-                out = []
-                for q in row.column("queries")[0].as_py():
-                    windows = sorted({(t["low"], t["high"]) for t in q["targets"]})
-                    found = search(tree, np.array(q["vector"], np.int64), windows, k, q["label"], same, q["id"])
-                    at = dict(zip(windows, found, strict=True))
-                    for t in q["targets"]:
-                        best = at[t["low"], t["high"]]
-                        out += [(q["query"], t["target"], *r) for r in zip(best.ids.tolist(), best.scores.tolist(), strict=True)]
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["query", "target", "id", "score"])
+                yield answer(tree, row.column("queries")[0].as_py())
 
     return work.mapInArrow(run, "query long, target long, id long, score long")
 

@@ -82,3 +82,21 @@ def test_integer_vectors(spark):
     rows = [([0.5, -0.001, 3.0],), ([1.0, None],), ([float("nan")],), ([float("inf")],), (None,), ([],)]
     got = spark.createDataFrame(rows, "v array<float>").select(ct.integer_vectors(F.col("v")).alias("q")).collect()
     assert [r["q"] for r in got] == [[128, -1, 768], None, None, None, None, []]
+
+
+def test_a_block_of_queries_goes_down_together(monkeypatch):
+    """The steps of a search do not grow with the queries of its block, and each query gets its own rows."""
+    rng = np.random.default_rng(8)
+    points, ids, labels = vectors(rng, 1500), rng.permutation(1500), rng.integers(0, 4, 1500)
+    tree, calls, plain = ct.Tree.load(ct.build(ids, labels, points).dump()), [0], ct.products
+    monkeypatch.setattr(ct, "products", lambda *a: calls.__setitem__(0, calls[0] + 1) or plain(*a))
+    some = np.arange(0, 1500, 25)
+    low, high = (np.tile(np.array(x), (len(some), 1)) for x in ([20_000, -5000, 1], [60_000, 90_000, 0]))  # the last is empty
+    found = ct.search_block(tree, points[some], low, high, 10, labels[some], False, ids[some])
+    assert calls[0] < len(some)
+    for n, i in enumerate(some):
+        scores = points @ points[i]
+        for w in range(3):
+            fits = (labels != labels[i]) & (ids != ids[i]) & (scores >= low[n, w]) & (scores <= high[n, w])
+            best = found.of(n, w)
+            assert list(zip((-best.scores).tolist(), best.ids.tolist(), strict=True)) == sorted(zip((-scores[fits]).tolist(), ids[fits].tolist(), strict=True))[:10]
