@@ -213,6 +213,29 @@ def test_pieces_have_the_ids_of_whole_texts(texts):
     assert bpe.encode(texts) == [np.array(bpe._ids([t])[0], "<u4").tobytes() for t in texts]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=" \n'sdLl.,_#~`[éÉßªµÿɏɐ×÷aZ1", max_size=16), max_size=6))
+def test_words_have_the_ids_of_whole_texts(texts):
+    from tokenizers import Tokenizer
+
+    whole = _whole.get(0) or _whole.setdefault(0, Tokenizer.from_file(tokenizer_path()))
+    assert _encoder().encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_new_words_skip_the_splitter():
+    """Words of letters go to the model; only their punctuation, once each, and other pieces pass the whole tokenizer."""
+    bpe, passed = Encoder(tokenizer_path()), []
+    plain = bpe._ids
+    bpe._ids = lambda texts: passed.extend(texts) or plain(texts)
+    words = [a + b + c for a in "abcdefgh" for b in "éouxyz" for c in "mnpqrst"]
+    text = "\n".join(" ".join(f"{w}{m}" for w in words[i : i + 8]) for i, m in zip(range(0, len(words), 8), [".", ",", "", "!!"] * 11, strict=False))
+    assert bpe.encode([text, text]) == [np.array(plain([text])[0], "<u4").tobytes()] * 2
+    assert len(passed) <= 5
+
+
+_whole = {}
+
+
 def _encoder(made=[]):  # noqa: B006
     if not made:
         made.append(Encoder(tokenizer_path(), limit=40))
