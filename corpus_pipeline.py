@@ -18,6 +18,7 @@ from signalfold.llm.packing import pack_documents
 from signalfold.llm.queries import table, tokenizer_path
 from signalfold.llm.tsearch import near_duplicates
 from signalfold.llm.words import free_name
+from signalfold.llm.worker import small_batches
 
 # A document goes if no language holds its text: no letters, or spans of several languages.
 LEAST_SCORE = 0.3
@@ -25,6 +26,7 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters or without one leading language; null texts have none."""
+    small_batches(spark)
     model = learn(docs)
     if model is None:  # nothing to learn from, so nothing to judge by
         return docs
@@ -37,6 +39,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts lines of recurring templates out of the texts; no document goes, and n_chars follows a changed text."""
+    small_batches(spark)
     cut = drop_recurring_lines(docs, same_form=False)
     if "n_chars" in docs.columns:
         changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
@@ -50,6 +53,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A row without an id counts as one with an id above all others, so near copies of any document
     go.  Of rows that repeat the id of a document that stays, all stay.  Null and empty texts have no copies.
     """
+    small_batches(spark)
     # Both reads of a table of files number its rows alike, also when a lost task is run again.
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.monotonically_increasing_id())
     key, gone = free_name(docs, "row_id"), free_name(docs, "gone")
@@ -65,6 +69,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens, one row per piece; a null text is an empty one."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_path())
 
 

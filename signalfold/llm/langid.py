@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalfold.llm.words import chunks, mix
+from signalfold.llm.worker import giving_back
 
 UNKNOWN = "und"
 # First code point of ranges of Unicode scripts; a range lasts to the next entry.
@@ -112,6 +113,10 @@ class Model:
             self.rows = np.vstack([self.rows, self._score(fresh)])
         return self.rows[at][codes]
 
+    def forget(self) -> None:
+        """The remembered words go."""
+        self.known, self.rows = {}, None
+
     def _score(self, words: list[str]) -> np.ndarray:
         buckets, owner = _grams(words)
         n = len(self.languages)
@@ -230,7 +235,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 [pa.array([lang] * len(at)), pa.array(at), pa.array(table[at].astype(np.int64))], names=["lang", "bucket", "n"]
             )
 
-    counted = some.select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
+    counted = some.select("text", "lang").mapInArrow(giving_back(count), "lang string, bucket long, n long")
     table = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     if table.empty:
         return None
@@ -275,6 +280,8 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 yield judged(whole.slice(at, ROWS))
+        if model is not None:
+            model.forget()
 
     def judged(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
@@ -307,4 +314,4 @@ def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", te
     schema = docs.select(*[F.col(f"`{c}`") for c in passed]).schema
     for name, kind in zip(new, ("string", "double", "long"), strict=True):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)

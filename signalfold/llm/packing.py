@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalfold.llm.bpe import encoder
+from signalfold.llm.worker import giving_back
 from signalfold.llm.token_files import TOGETHER
 
 # Pieces that are packed together; each group wastes less than one sequence or so.
@@ -177,7 +178,7 @@ def pieces(
     TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     NAMES = ["doc_id", "piece", "start", "length", "ids_crc32", "_turn"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _turn long")
+    return rows.mapInArrow(giving_back(cut), "doc_id long, piece int, start long, length long, ids_crc32 long, _turn long")
 
 
 def pack_documents(

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalfold.llm.components import components, stored
-from signalfold.llm.words import SPACED, chunks, hash_runs, hash_words, mix
+from signalfold.llm.words import blank_joined, chunks, hash_runs, hash_slices, mix
+from signalfold.llm.worker import freed, giving_back
 from signalfold.scale import broadcast_if_small
 
 WIDTH = 5
@@ -42,13 +43,12 @@ BEST = 2  # pivots that a document is compared with at first; further links are
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; A-Z count as a-z."""
-    lists = [SPACED.findall((t or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")) for t in texts]
-    flat = hash_words([w for ws in lists for w in ws])
+def shingle_sets(texts: list[bytes | None], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each UTF-8 text; A-Z count as a-z."""
+    words, sizes = blank_joined([t and t.lower() for t in texts])
+    flat = hash_slices(words)
     runs, out, at = hash_runs(flat, width), [], 0
-    for words in lists:
-        n = len(words)
+    for n in sizes.tolist():
         if n >= width:
             out.append(np.unique(runs[at : at + n - width + 1]))
         else:
@@ -57,6 +57,11 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
+def utf8(column: pa.Array) -> Iterator[bytes | None]:
+    """The texts of a column one by one as bytes, which take no room beside the column all at once."""
+    return (text.as_py() for text in column.cast(pa.binary()))
+
+
 def least_shared(n: int, percent: int = PERCENT) -> int:
     """Shingles that a set of n shares at least with any partner."""
     return -(-percent * n // 100)
@@ -103,7 +108,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, texts in chunks(batch.column(1).to_pylist()):
+            for first, end, texts in chunks(utf8(batch.column(1))):
                 sets = shingle_sets(texts, width)
                 flat = np.concatenate(sets)
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -121,7 +126,7 @@ def _signatures(docs: DataFrame, width: int) -> DataFrame:
                     names=["doc_id", "n", "s1", "s2", "token", "often"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, token long, often long")
+    return docs.mapInArrow(giving_back(run), "doc_id long, n long, s1 long, s2 long, token long, often long")
 
 
 def _common(signed: DataFrame, share: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +154,9 @@ def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, commo
 
     def sets_of(rows: pa.Table, ids: set) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
         pairs = {}
-        for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-            if doc_id in ids and (doc_id not in pairs or (text or "") < pairs[doc_id]):
-                pairs[doc_id] = text or ""
+        for doc_id, text in zip(rows.column("doc_id").to_pylist(), utf8(rows.column("text")), strict=True):
+            if doc_id in ids and (doc_id not in pairs or (text or b"") < pairs[doc_id]):
+                pairs[doc_id] = text or b""
         order = sorted(pairs)
         sets = [s for _, _, texts in chunks([pairs[i] for i in order]) for s in shingle_sets(texts, width)]
         return order, sets, [short_lists(s, common, counts, percent) for s in sets]
@@ -216,10 +221,12 @@ def _survivors(docs: DataFrame, reps: DataFrame, blocks: int, shards: int, commo
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n", "own", "lists", "tokens"])
 
     left = dealt.groupBy("block")
-    sent = left.cogroup(wanted.groupBy("block")).applyInArrow(send, "shard long, block long, tokens binary, twice binary")
-    answers = sent.groupBy("shard").applyInArrow(count, "block long, doc_id long, shard long, bits binary")
+    sent = left.cogroup(wanted.groupBy("block")).applyInArrow(lambda rows, right: freed(send, rows, right), "shard long, block long, tokens binary, twice binary")
+    answers = sent.groupBy("shard").applyInArrow(lambda rows: freed(count, rows), "block long, doc_id long, shard long, bits binary")
     right = answers.unionByName(wanted.withColumns({"shard": F.lit(None).cast("long"), "bits": F.lit(None).cast("binary")}))
-    return left.cogroup(right.groupBy("block")).applyInArrow(keep, "doc_id long, n long, own double, lists array<long>, tokens array<long>")
+    return left.cogroup(right.groupBy("block")).applyInArrow(
+        lambda rows, right: freed(keep, rows, right), "doc_id long, n long, own double, lists array<long>, tokens array<long>"
+    )
 
 
 def _open_sets(left: DataFrame, postings: DataFrame, percent: int) -> DataFrame:
@@ -365,7 +372,7 @@ def _candidates(postings: DataFrame, full: bool, percent: int = PERCENT) -> Data
         if lists:
             yield out(answer(query, na, lists, sizes))
 
-    found = rows.mapInArrow(merge, "a long, b long, lists long, need long")
+    found = rows.mapInArrow(giving_back(merge), "a long, b long, lists long, need long")
     if not full:
         # What is left out here meets again among the open documents.
         turn = Window.partitionBy("b").orderBy(F.desc("lists"), "a")
@@ -392,7 +399,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(probe_long(x, y, -(-percent * (len(x) + len(y)) // (100 + percent))))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInArrow(check, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(giving_back(check), "a long, b long")
 
 
 def near_duplicates(

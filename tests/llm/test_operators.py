@@ -6,10 +6,12 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +128,25 @@ def test_near_duplicates_of_large_groups(spark, seed):
     assert 20 < len(set(got.values())) < len(got) - 20  # the fixture has both cases
 
 
+def test_shingles_take_little_memory():
+    """No word becomes an object: 8 MB of short words take a few times their bytes."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 100_000, 500).tolist())) for _ in range(2800)]
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])]))
+
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in tsearch._signatures(Rows(), 5))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == len(texts)
+    assert peak < 100_000_000
+
+
 def test_common_lists_of_a_pair_are_summed(spark):
     """Pairs on 6 lists of several lengths, each of over 600 members; the members besides are of one component."""
     rows, other = [], 1000

@@ -127,3 +127,16 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i, t in want.items():
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
         assert pieces[i] == [(0, len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_arrow_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(1, "some words", "en", "s", 3, "x")], COLUMNS)
+    before = spark.conf.get(key)
+    try:
+        for set_, held in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(key, set_)
+            corpus_pipeline.jaccard_join(spark, docs, "").collect()
+            assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, before)
