@@ -12,9 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalfold.llm.bpe import encoder
+from signalfold.llm.bpe import encoder, text_blocks
 from signalfold.llm.worker import giving_back
-from signalfold.llm.token_files import TOGETHER
 
 # Pieces that are packed together; each group wastes less than one sequence or so.
 GROUP = 50_000
@@ -161,8 +160,7 @@ def pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, turn = encoder(tokenizer), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
+            for some in text_blocks(batch):
                 rows = []
                 for doc_id, raw in zip(some.column(0).to_pylist(), bpe.encode(some.column(1).to_pylist()), strict=True):
                     ids = memoryview(raw + end)

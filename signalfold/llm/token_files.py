@@ -11,10 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalfold.llm.bpe import encoder
-
-# Documents whose texts are encoded together; bounds what a worker holds beside the Arrow batch.
-TOGETHER = 256
+from signalfold.llm.bpe import encoder, text_blocks
+from signalfold.llm.worker import giving_back
 
 
 def write_token_files(
@@ -40,8 +38,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
+            for some in text_blocks(batch):
                 raw = [ids + end for ids in bpe.encode(some.column("text").to_pylist())]
                 sizes = np.array([len(ids) // 4 for ids in raw], np.int64)
                 ends = np.cumsum(sizes)
@@ -54,7 +51,7 @@ def write_token_files(
                 )
                 before += int(ends[-1])
 
-    encoded = ordered.mapInArrow(encode, "doc_id long, n_tokens long, part long, before long, ids array<int>")
+    encoded = ordered.mapInArrow(giving_back(encode), "doc_id long, n_tokens long, part long, before long, ids array<int>")
     writer = encoded.write.mode("overwrite").option("compression", "zstd").option("parquet.writer.version", "v2")
     for name in ("doc_id", "n_tokens", "part", "before"):
         writer = writer.option(f"parquet.enable.dictionary#{name}", "false")
@@ -85,7 +82,7 @@ def read_token_digest(spark: SparkSession, path: str) -> DataFrame:
             )
 
     files = spark.read.parquet(path)
-    rows = files.mapInArrow(digest, "doc_id long, n_tokens long, part long, before long, ids_crc32 long")
+    rows = files.mapInArrow(giving_back(digest), "doc_id long, n_tokens long, part long, before long, ids_crc32 long")
     return rows.join(token_starts(files), "part").select(
         "doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )

@@ -254,6 +254,45 @@ def test_new_words_skip_the_splitter():
     assert len(passed) <= 5
 
 
+def test_distinct_pieces_of_a_block_are_looked_up_once():
+    bpe, asked = Encoder(tokenizer_path()), []
+    find = bpe._find
+    bpe._find = lambda pieces: asked.append(pieces.to_pylist()) or find(pieces)
+    texts = ["one two, two.\none", None, "", "one  two,\ttwo.", "two. one"] * 50
+    want = [np.array(bpe._ids([t or ""])[0], "<u4").tobytes() for t in texts]
+    assert bpe.encode(texts) == want == bpe.encode(texts)
+    assert len(asked) == 2 and all(len(a) == len(set(a)) <= 12 for a in asked)
+    assert len(bpe._known) == len(set(asked[0]))
+
+
+def test_pieces_of_equal_hash_have_their_own_ids(monkeypatch):
+    from signalfold.llm import bpe
+
+    monkeypatch.setattr(bpe, "_hashes", lambda pieces: np.array([len(p) % 2 for p in pieces.to_pylist()], np.uint64))
+    one = Encoder(tokenizer_path(), limit=12)
+    for texts in (["the dog, the house."], ["house. dog, at home", "the\ndog"], ["a dog,  a house.", "dogs dogs"] * 2):
+        assert one.encode(texts) == [np.array(one._ids([t])[0], "<u4").tobytes() for t in texts]
+        assert len(one._known) == len(one._known_ids) <= 12 and len(one._hash) == len(one._place) <= 2
+
+
+def test_long_pieces_are_not_remembered():
+    bpe = Encoder(tokenizer_path())
+    texts = ["one two\u200b " * 100, "x" * 300 + " one, two", "one,"]
+    assert bpe.encode(texts) == [np.array(bpe._ids([t])[0], "<u4").tobytes() for t in texts] == bpe.encode(texts)
+    assert sorted(bpe._known.to_pylist()) == ["\0one,", "one,", "two"]
+
+
+def test_text_blocks():
+    from signalfold.llm.bpe import text_blocks
+
+    texts = ["ab", None, "", "é" * 3, "x" * 50, "y", None, "zz"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    got = [b.column("text").to_pylist() for b in text_blocks(batch, most=8)]
+    assert got == [["ab", None, "", "ééé"], ["x" * 50], ["y", None, "zz"]]
+    assert [x for b in text_blocks(batch, most=1) for x in b.column("doc_id").to_pylist()] == [*range(8)]
+    assert list(text_blocks(batch.slice(0, 0))) == []
+
+
 _whole = {}
 
 
