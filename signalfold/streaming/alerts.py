@@ -13,8 +13,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from signalfold import schemas
 from signalfold.operators import alerts
 from signalfold.operators.throttle import claim_in_order
+from signalfold.streaming.batches import keyed_state
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SIGNAL_COLUMNS = (
     "kind string, project_id long, issue_id long, group_hash {hash}, title string, culprit string, "
     "level string, release string, environment string, at timestamp"
@@ -83,7 +83,7 @@ def start_alerts(
     available_now: bool = False,
 ) -> StreamingQuery:
     """Notifications as an append-only table, written exactly once by the file sink."""
-    signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    keyed_state(signals.sparkSession, available_now)
     attempts = alerts.with_channels(alerts.match_signals(signals, rules, dashboard))
     records = alerts.notifications(throttled(attempts))
     writer = records.writeStream.format("parquet").option("checkpointLocation", checkpoint)

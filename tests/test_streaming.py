@@ -260,3 +260,46 @@ def test_numbers_as_text(spark):
     values = [500.0, 812.25, 0.1, 1e7, 123456789.5, 0.0001, -3.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert [r[0] for r in df.select(alerts.plain_number(F.col("v"))).collect()] == ["500", "812.25", "0.1", "10000000", "123456789.5", "0.0001", "-3"]
+
+
+class HeldState:
+    """The state handle and the value state of one issue, without a stream."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_signals_carry_no_state():
+    """What a batch tells of an issue grows with its regressions, not with these times its actions."""
+    at = lambda i: i * 60_000_000
+    first = {"timestamp_us": 0, "level": "error", "release": "", "environment": "", "title": "t", "culprit": "c", "components": []}
+    occurrence = lambda i: {"first_us": at(i), "first_id": f"{i:04d}", "first": first, "last_us": at(i), "last_id": f"{i:04d}", "last": {"title": "t", "culprit": "c"}, "last_seen_us": at(i), "times_seen": 1}
+    resolve = lambda i: {"batch": None, "segments": None, "action": {"kind": "resolved", "release": "", "assignee_id": None, "acted_us": at(i), "seq": f"{i:04d}"}}
+    processor, held = issue_state.IssueProcessor(), []
+    processor.init(HeldState())
+    for batch in range(3):
+        numbers = range(batch * 200, batch * 200 + 200)
+        rows = [resolve(i) for i in numbers if i % 2] + [{"batch": batch, "segments": [occurrence(i) for i in numbers if i % 2 == 0], "action": None}]
+        told = list(processor.handleInputRows((1, 7), iter(rows), None))
+        assert [sum(r.kind == k for r in told) for k in ("new_issue", "regression", "issue")] == [batch == 0, 100 - (batch == 0), 1]
+        held.append(sum(len(r.moves or ()) for r in told))
+        assert {r.version for r in told if r.kind != "issue"} == {None}
+    assert held == [100, 200, 300]
+
+
+def test_stores_of_an_ended_query_close(spark):
+    for ends in (True, False):
+        batches.keyed_state(spark, ends)
+        assert spark.conf.get("spark.sql.streaming.stateStore.unloadOnCommit") == str(ends).lower()
