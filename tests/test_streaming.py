@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -303,3 +304,23 @@ def test_stores_of_an_ended_query_close(spark):
     for ends in (True, False):
         batches.keyed_state(spark, ends)
         assert spark.conf.get("spark.sql.streaming.stateStore.unloadOnCommit") == str(ends).lower()
+
+
+def test_partials_between_actions(spark):
+    """Stretches between actions over many hours, against plain Python; some at the same moment, some hours without any."""
+    rng = random.Random(5)
+    moment = lambda: T0 + timedelta(minutes=rng.choice([0, 0, 300, 900]) + rng.randrange(40) * 5)
+    rows = [(1, rng.choice("ab"), moment(), f"{i:03d}", T0, "t", "c", "error", "", "", "u", []) for i in range(300)] + [(1, "a", None, "x", T0, "t", "c", "error", "", "", "u", [])]
+    cols = "project_id long, group_hash string, received_at timestamp, event_id string, timestamp timestamp, title string, culprit string, level string, release string, environment string, user_id string, components array<string>"
+    acts = [(1, rng.choice("abc"), moment(), rng.choice(["000", "150", "999"]), rng.choice(["resolved", "ignored", "assigned"])) for _ in range(120)]
+    actions = spark.createDataFrame(acts, "project_id long, group_hash string, acted_at timestamp, seq string, kind string")
+    got = {r.group_hash: r for r in issue_state.partials(spark.createDataFrame(rows, cols), actions).collect()}
+    some = [r[2] for r in rows if r[2]]
+    for group in "ab":
+        cuts = sorted((a[2], a[3]) for a in acts if a[1] == group and a[4] != "assigned" and min(some) <= a[2] <= max(some))
+        mine = sorted((r[2] or datetime.min, r[3]) for r in rows if r[1] == group)
+        want = {}
+        for x in mine:
+            want.setdefault(sum(c < x for c in cuts), []).append(x)
+        assert [(s.first_at.o1, s.last_at.o1, s.times_seen) for s in got[group].segments] == [(x[0][1], x[-1][1], len(x)) for _, x in sorted(want.items())]
+        assert got[group].times_seen == len(mine)
