@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 import time
 from collections import Counter
@@ -68,3 +69,16 @@ def test_windows_cost_less_than_python_words():
     plain = least(lambda: hash_words([w for t in texts for w in spaced_words(t)]))
     assert least(lambda: superkmers.superkmers(encoded, K, np.zeros(0, np.uint64))) < plain
     assert least(lambda: superkmers.repeated_windows(joined, K, known)) < plain
+
+
+def test_busy_minimisers_are_counted_in_all_rows(spark):
+    """Also those that no part of the table holds twice; a default run counts the whole table."""
+    rng = random.Random(6)
+    common, texts = " ".join(rng.choices("abcdefgh", k=60)), []
+    for i in range(8):
+        texts.append(" ".join([*(f"w{i}x{rng.random()}" for _ in range(50)), common]))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartitionByRange(8, "text")
+    counts = Counter(x for t in texts for x in superkmers.superkmers([t.encode()], K, np.zeros(0, np.uint64)).least.tolist())
+    want = sorted(x for x, n in counts.items() if n > 5)
+    assert want and superkmers._hot_minimisers(docs, K, 5).tolist() == want
+    assert inspect.signature(superkmers.remove_repeated_windows).parameters["sample_bytes"].default is None
