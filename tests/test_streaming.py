@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalfold.operators import alerts, issues, rollups
+from signalfold.plans import signal_queries, streaming_queries
 from signalfold.sources.jobs import stream_lines
 from signalfold.streaming import alerts as alert_stream
 from signalfold.streaming import batches, issue_state, jobs, schedule, seen
@@ -324,3 +325,32 @@ def test_partials_between_actions(spark):
             want.setdefault(sum(c < x for c in cuts), []).append(x)
         assert [(s.first_at.o1, s.last_at.o1, s.times_seen) for s in got[group].segments] == [(x[0][1], x[-1][1], len(x)) for _, x in sorted(want.items())]
         assert got[group].times_seen == len(mine)
+
+
+def test_lines_land_in_parts(spark):
+    """Every part reaches the tables of its signals and is gone then; shuffle files are kept as before afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name)
+    parts = [spark.createDataFrame([(x,) for x in LINES[k::2]], "value string") for k in range(2)]
+    label = f"parts-{random.random()}"
+    paths = streaming_queries._routed_by_parts(spark, parts, label, ("logs", "errors", "rejects"))
+    beside = os.path.dirname(paths.root.removeprefix("file:"))
+    assert spark.read.parquet(paths.of("logs")).count() == 20
+    assert spark.read.parquet(paths.of("errors")).select("event_id").distinct().count() == 30
+    assert sorted(r.reason for r in spark.read.parquet(paths.of("rejects")).collect()) == ["not readable", "unreadable log"]
+    assert [os.listdir(f"{beside}/{x}") for x in os.listdir(beside) if x.startswith(f"{label}-lines")] == [[]]
+    assert spark.conf.get(name) == old
+
+
+def test_parts_hold_every_line(spark, tmp_path):
+    """The parts of each kind of lines are its lines, each once; null times and keys as well."""
+    at = [T0 + timedelta(hours=i) for i in range(6)] + [None]
+    kinds = ["error", "view", "signup", "purchase", "error", "click", "error"]
+    events = [(i, t, i, k, float(i), "{}") for i, (t, k) in enumerate(zip(at, kinds))]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i, i, "F", 1.5, t, "1-URGENT") for i, t in enumerate(at)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 4, i, 2.5, "N") for i in range(9)], "l_orderkey long, l_linenumber int, l_extendedprice double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for lines in (signal_queries.log_lines, signal_queries.metric_lines, signal_queries.span_lines, signal_queries.error_lines):
+        whole = sorted(r.value for r in lines(spark, str(tmp_path)).collect())
+        parts = [lines(spark, str(tmp_path), lambda c: F.pmod(F.xxhash64(c), F.lit(3)) == k).collect() for k in range(3)]  # noqa: B023
+        assert sorted(r.value for p in parts for r in p) == whole and sum(map(bool, parts)) > 1
